@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.llm import overlap
+from quarrymark.llm import bpe, overlap
 from quarrymark.llm.oracle import ORACLE
 from quarrymark.sources.tables import table
 
@@ -24,4 +24,12 @@ def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return _shared(spark, d).select(F.col("a").alias("column_id_a"), F.col("b").alias("column_id_b"), "shared", "size_a", "size_b", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_overlaps": p3_overlaps}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"), "doc_id", "text", counts_only=True)
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
