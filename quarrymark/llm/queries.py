@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.llm import bpe, overlap
+from quarrymark.llm import bpe, mixing, overlap, subjects
 from quarrymark.llm.oracle import ORACLE
+from quarrymark.sources.shared import staged
 from quarrymark.sources.tables import table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -32,4 +33,44 @@ def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"), "doc_id", "text", counts_only=True)
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
+#: Spellings of the languages of documents.
+LANGUAGE_CODES = {"eng": "en", "deu": "de", "ger": "de", "spa": "es"}
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes in tokens of byte_bpe_50k; languages by their normalised code; topics as labelled by hand, all others one class."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    sizes = staged(bpe.encoded(docs.withColumn("key", F.struct("doc_id", "source", "lang")).select("key", "text"), "key", "text", counts_only=True), "tokens")
+    code = F.lower("key.lang")
+    for spelling, to in LANGUAGE_CODES.items():
+        code = F.when(F.lower("key.lang") == spelling, to).otherwise(code)
+    code = F.when(code.isin("en", "de", "es"), code)
+    topics = table(spark, d, "subject_labels").groupBy("doc_id").agg(F.min("subject").alias("topic"))
+    sized = sizes.select(F.col("key.doc_id").alias("doc_id"), F.col("key.source").alias("source"), code.alias("lang"), "tokens").join(topics, "doc_id", "left")
+    return mixing.mixture(sized.withColumnRenamed("doc_id", "key"), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).where("copies > 0").withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return subjects.assigned(docs, "doc_id", "text", table(spark, d, "subject_labels").select("doc_id", "subject"), table(spark, d, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject area, those without documents included."""
+    areas = table(spark, d, "subject_areas").select("subject")
+    return areas.join(_subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents")), "subject", "left").fillna(0)
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
