@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.llm import bpe, mixing, overlap, subjects
+from quarrymark.llm import bpe, mixing, overlap, pii, subjects
 from quarrymark.llm.oracle import ORACLE
 from quarrymark.sources.shared import staged
 from quarrymark.sources.tables import table
@@ -33,6 +33,28 @@ def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"), "doc_id", "text", counts_only=True)
 
 
+FREE_TEXT = {"candidates": "resume_text", "posts": "body", "articles": "body"}
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """source_table, record_id, text, found, masked of every row of the tables with free text."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("source_table"), F.col("id").alias("record_id"), F.col(c).alias("text")) for t, c in FREE_TEXT.items()]
+    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    people = [(table(spark, d, t), "first_name", "last_name") for t in ("candidates", "employees")]
+    # a delivery often repeats a text: each is marked once
+    texts = staged(texts.distinct(), "texts")
+    return pii.mentions(texts, "text", pii.gazetteer(texts, "text", people))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    each = _marked(spark, d).select("source_table", "record_id", F.explode("found").alias("m"))
+    return each.select("source_table", "record_id", "m.kind", "m.mention").distinct()
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("source_table", "record_id", "masked").distinct()
+
+
 #: Spellings of the languages of documents.
 LANGUAGE_CODES = {"eng": "en", "deu": "de", "ger": "de", "spa": "es"}
 
@@ -73,4 +95,4 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return areas.join(_subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents")), "subject", "left").fillna(0)
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
+QUERIES = {"p6_found": p6_found, "p6_masked": p6_masked, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
