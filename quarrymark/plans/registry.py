@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrymark.plans import column_queries, core_problems
+from quarrymark.plans import column_queries, core_problems, relation_queries
 
-MODULES = [core_problems, column_queries]
+MODULES = [core_problems, column_queries, relation_queries]
 
 
 def queries() -> dict:
