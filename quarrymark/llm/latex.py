@@ -5,11 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_COMMENT = re.compile(r"(?<!\\)%[^\n]*")
 _SKIPPED = re.compile(r"\\iffalse(?![a-zA-Z]).*?(?:\\fi(?![a-zA-Z])|\Z)|\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)|\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)", re.S)
 _DEFINED = re.compile(r"\\(?:(?:re)?newcommand\*?|providecommand\*?|DeclareRobustCommand\*?)\s*\{?\\([a-zA-Z@]+)\}?\s*(?:\[(\d)\](?:\[[^\]]*\])?)?\s*\{|\\def\s*\\([a-zA-Z@]+)((?:#\d)*)\s*\{")
 _BLOCK = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math|figure|table|tabular|array|verbatim|lstlisting|tikzpicture)\*?)\}.*?(?:\\end\{\1\}|\Z)", re.S)
-_FORMULA = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!\\)\$[^$\n]{0,400}\$", re.S)
+_FORMULA = re.compile(r"\$\$.*?\$\$|\$[^$\n]{0,400}\$|\\\[.*?\\\]|\\\(.*?\\\)", re.S)
 _HEAD = re.compile(r"\\(?:sub)*(?:section|paragraph|chapter|part)\*?\s*(?:\[[^\]]*\])?\{[^{}]*\}")
 _DROPPED = re.compile(r"\\(?:keywords|label|ref|eqref|pageref|cite[a-z]*|input|includegraphics|include|bibliographystyle|bibliography|usepackage|documentclass|title|author|date|thispagestyle|pagestyle|vspace|hspace|url)\*?(?:\s*\[[^\]]*\])*(?:\{[^{}]*\})?")
 _ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[^{}]*\}")
@@ -35,6 +34,20 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
+def _without_comments(text: str) -> str:
+    """text without what stands between an unescaped % and the end of its line."""
+    first, *rest = text.split("%")
+    out, inside = [first], False
+    for part in rest:
+        if inside or not out[-1].endswith("\\"):
+            end = part.find("\n")
+            inside = end < 0
+            out.append("" if inside else part[end:])
+        else:
+            out.append("%" + part)
+    return "".join(out)
+
+
 def _take_macros(text: str) -> tuple[str, dict[str, tuple[int, str]]]:
     """text without its macro definitions, and the macros: number of arguments, body. Of repeated ones the last holds."""
     macros: dict[str, tuple[int, str]] = {}
@@ -85,13 +98,13 @@ def sentences(text: str | None) -> list[str]:
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     text = text.replace("\r\n", "\n").replace("\\\\", " ")
     if "%" in text:
-        text = _COMMENT.sub("", text)
+        text = _without_comments(text)
     text = _SKIPPED.sub("\n\n", text)
     text, macros = _take_macros(text)
     start = max((m + len(k) for k in ("\\begin{document}", "\\maketitle") if (m := text.find(k)) >= 0), default=0)
     end = text.find("\\end{document}", start)
     text = text[start : end if end >= 0 else len(text)]
-    text = _expand(_FORMULA.sub(" ", _BLOCK.sub(" ", text)), macros)
+    text = _expand(_FORMULA.sub(" ", _BLOCK.sub(" ", text).replace("\\$", " ")), macros)
     text = _DROPPED.sub(" ", _HEAD.sub("\x00", text))
     text = _ENVIRONMENT.sub("\n\n", text)
     if "\\" in text:
@@ -105,8 +118,25 @@ def sentences(text: str | None) -> list[str]:
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_ASCII = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha() and chr(c) != "-"})
+_KEPT = 200_000
+
+
+class _Stems(dict):
+    """Words as they are kept: a plural s taken off, short ones and what isn't a word empty."""
+
+    def __missing__(self, word: str) -> str:
+        kept = word.strip("-") if _WORD.fullmatch(word.strip("-")) else ""
+        kept = "" if len(kept) < 3 else kept[:-1] if kept[-1] == "s" and len(kept) > 4 and kept[-2] != "s" else kept
+        if len(self) < _KEPT:
+            self[word] = kept
+        return kept
+
+
+_STEMS = _Stems()
 
 
 def words(sentence: str) -> list[str]:
     """Lower-case words of three letters or more, hyphens inside kept, a plural s taken off."""
-    return [w[:-1] if w[-1] == "s" and len(w) > 4 and w[-2] != "s" else w for w in _WORD.findall(sentence) if len(w) > 2]
+    parts = sentence.translate(_ASCII).split() if sentence.isascii() else _WORD.findall(sentence)
+    return list(filter(None, map(_STEMS.__getitem__, parts)))

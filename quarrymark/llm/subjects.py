@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ LEAF_TERMS = 15
 TELLING = 2.5
 #: ... and if its documents have so many subject-bearing sentences in the mean, so that the wording of stubs isn't taken for a subject's.
 MEAN_SENTENCES = 3
+#: Terms that at first tell subjects apart less than so much are left out of the sentences for good.
+PERHAPS = 1.3
+#: Documents scored at once.
+SLICE = 1000
 ROUNDS = 3
 #: Frequent function words, which tell a text's language.
 FUNCTION_WORDS = {
@@ -44,20 +49,21 @@ FUNCTION_WORDS = {
 LANGUAGES = [*FUNCTION_WORDS]
 
 
-_BY_WORD = {w: i for i, f in enumerate(FUNCTION_WORDS.values()) for w in f}
-
-
 def bodies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, body, lang: the words of each row's typeset sentences, a line per sentence; empty for null, empty and unfinished texts without any."""
+    """key, body, lang: the words of each row's typeset sentences, a line per sentence; empty for null, empty and unfinished texts without any.
+
+    lang is the number in LANGUAGES of the language most of whose function words occur, the first of equals.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, langs = [], []
             for t in b.column(1):
                 lines = [x for s in latex.sentences(t.as_py()) if (x := latex.words(s))]
-                held = Counter(i for x in lines for w in x if (i := _BY_WORD.get(w)) is not None)
+                held = Counter(chain.from_iterable(lines))
+                of = [sum(map(held.__getitem__, f)) for f in FUNCTION_WORDS.values()]
                 out.append("\n".join(map(" ".join, lines)))
-                langs.append(min(held, key=lambda i: (-held[i], i)) if held else 0)
+                langs.append(of.index(max(of)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(langs, pa.int32())], names=["key", "body", "lang"])
 
     return staged(df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, body string, lang int"), "bodies")
@@ -126,34 +132,34 @@ def term_weights(counts: np.ndarray) -> np.ndarray:
     return (share / share.mean(1, keepdims=True)).transpose(0, 2, 1)
 
 
-def telling(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def telling(held: np.ndarray, docs: np.ndarray, times: float = TELLING) -> np.ndarray:
     """(language, term): whether a term tells subjects apart, from documents holding it (language, subject, term) and all documents (language, subject)."""
     share = (held + 0.02) / (docs[:, :, None] + 1)
-    return share.max(1) >= TELLING * np.median(share, 1)
+    return share.max(1) >= times * np.median(share, 1)
 
 
-class Scorer:
-    """Scores the sentences of a body by the weights of the terms that tell subjects apart."""
-
-    def __init__(self, terms: list[str], weights: np.ndarray, tells: np.ndarray):
-        self.number = [{t: i for i, t in enumerate(terms) if tells[g, i]} for g in range(len(LANGUAGES))]
-        self.logs = np.log(np.maximum(weights, 1e-6)).astype(np.float32)
+def coded(docs: DataFrame, terms: list[str], perhaps: np.ndarray) -> DataFrame:
+    """key, lang, leaf, ids, sizes of (key, body, lang, leaf): each sentence as the numbers of its terms that may tell subjects apart, and how many those are; sentences without any are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, perhaps))
 
-    def sentences(self, body: str, lang: int, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Of the subject-bearing sentences: posteriors over subjects; terms and the sentence of each. None without any.
-
-        The prior is the leaf's mixture at first, then the document's own.
-        """
-        get = self.number[lang].get
-        ids = [x for line in body.split("\n") if (x := [i for w in line.split(" ") if (i := get(w)) is not None])]
-        if not ids:
-            return None
-        term = np.array([i for x in ids for i in x], np.int64)
-        line = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        starts = np.flatnonzero(np.diff(line, prepend=-1))
-        score = np.add.reduceat(self.logs[lang][term], starts, axis=0)
-        post = _softmax(score + prior)
-        return _softmax(score + np.log(post.mean(0) + 0.02)), term, line
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tells = shared.value
+        number = [{t: i for i, t in enumerate(words) if tells[g, i]} for g in range(len(LANGUAGES))]
+        for b in batches:
+            ids, sizes, per_doc = [], [], [[0], [0]]
+            for body, lang in zip(b.column(1), b.column(2).to_pylist()):
+                get = number[lang].get
+                for line in body.as_py().split("\n"):
+                    held = [i for i in map(get, line.split(" ")) if i is not None]
+                    if held:
+                        ids += held
+                        sizes.append(len(held))
+                per_doc[0].append(len(ids)), per_doc[1].append(len(sizes))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in zip(per_doc, (ids, sizes))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *lists], names=["key", "lang", "leaf", "ids", "sizes"])
+
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, lang int, leaf int, ids array<int>, sizes array<int>"
+    return staged(docs.select("key", "body", "lang", "leaf").mapInArrow(run, schema), "coded")
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
@@ -161,32 +167,73 @@ def _softmax(score: np.ndarray) -> np.ndarray:
     return score / score.sum(1, keepdims=True)
 
 
-def _prior(mix: np.ndarray) -> np.ndarray:
-    return np.log(mix + 0.05).astype(np.float32)
+class Scorer:
+    """Scores the sentences of many documents at once by the weights of the terms that tell subjects apart."""
+
+    def __init__(self, weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray):
+        self.vocab = weights.shape[1]
+        self.logs = np.log(np.maximum(weights, 1e-6)).astype(np.float32).reshape(-1, weights.shape[2])
+        self.tells = tells.ravel()
+        self.priors = np.log(mixes + 0.05).astype(np.float32)
 
+    def score(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of slices of (lang, leaf, ids, sizes): first row of the slice, document of each subject-bearing sentence, its posteriors, number of each telling term (with the language's offset), its sentence.
 
-def reestimated(docs: DataFrame, terms: list[str], weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and telling terms, from what all sentences and documents (body, lang, leaf) are expected to hold under the present ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, weights, tells, _prior(mixes)))
+        A sentence's prior is its leaf's mixture of subjects at first, then the document's own.
+        """
+        for at in range(0, batch.num_rows, SLICE):
+            b = batch.slice(at, SLICE)
+            lang, leaf, ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(sizes.offsets.to_numpy()))
+            held = sizes.flatten().to_numpy()
+            line = np.repeat(np.arange(len(held)), held)
+            term = ids.flatten().to_numpy() + lang[doc][line].astype(np.int64) * self.vocab
+            keep = self.tells[term]
+            term, line = term[keep], line[keep]
+            if not len(term):
+                continue
+            starts = np.flatnonzero(np.diff(line, prepend=-1))
+            doc, line = doc[line[starts]], np.cumsum(np.diff(line, prepend=line[0]) != 0)
+            score = np.add.reduceat(self.logs[term], starts, axis=0)
+            post = _softmax(score + self.priors[leaf[doc]])
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            own = np.add.reduceat(post, first, axis=0) / np.diff(first, append=len(doc))[:, None]
+            own = np.repeat(np.log(own + 0.02), np.diff(first, append=len(doc)), axis=0)
+            yield at, doc, _softmax(score + own), term, line
+
+
+def reestimated(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and telling terms, from what all sentences and documents (coded) are expected to hold under the present ones."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, tells, mixes))
     langs, vocab, width = weights.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w, told, priors = shared.value
-        scorer = Scorer(words, w, told)
-        every = {t: i for i, t in enumerate(words)}
+        scorer = Scorer(*shared.value)
         sums = np.zeros((3, langs, vocab + 1, width))  # of sentences, of documents, of documents times their sentences; the last term counts documents
+        flat = sums.reshape(3, -1, width)
         for b in batches:
-            for body, lang, leaf in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if found := scorer.sentences(body, lang, priors[leaf]):
-                    post, term, line = found
-                    np.add.at(sums[0, lang], term, post[line])
-                    inside = [i for x in set(body.replace("\n", " ").split(" ")) if (i := every.get(x)) is not None]
-                    sums[1, lang, [*inside, vocab]] += post.mean(0)
-                    sums[2, lang, inside] += post.sum(0)
+            lang, ids = b.column(0).to_numpy(), b.column(2)
+            lengths = np.diff(ids.offsets.to_numpy())
+            for at, doc, post, term, line in scorer.score(b):
+                _add(flat[0], term + term // vocab, post[line])  # each language has a place more than terms
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                total = np.add.reduceat(post, first, axis=0)
+                count = np.diff(first, append=len(doc))
+                row = at + doc[first]
+                _add(flat[1], lang[row].astype(np.int64) * (vocab + 1) + vocab, total / count[:, None])
+                # every term of a document once, telling or not
+                inside = np.zeros(b.num_rows, np.int64) - 1
+                inside[row] = np.arange(len(row))
+                owner = np.repeat(inside, lengths)
+                place = ids.flatten().to_numpy() + np.repeat(lang, lengths).astype(np.int64) * (vocab + 1)
+                pair = np.unique((owner * flat.shape[1] + place)[owner >= 0])
+                owner, place = pair // flat.shape[1], pair % flat.shape[1]
+                _add(flat[1], place, (total / count[:, None])[owner])
+                _add(flat[2], place, total[owner])
         at = np.nonzero(sums > 1e-6)
         yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(sums[at])], names=["of", "g", "t", "s", "n"])
 
-    rows = docs.select("body", "lang", "leaf").mapInArrow(run, "of long, g long, t long, s long, n double").groupBy("of", "g", "t", "s").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("lang", "leaf", "ids", "sizes").mapInArrow(run, "of long, g long, t long, s long, n double").groupBy("of", "g", "t", "s").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((3, langs, vocab + 1, width))
     of, g, t, s, n = (c.to_numpy() for c in rows.columns)
     sums[of, g, t, s] = n
@@ -195,23 +242,27 @@ def reestimated(docs: DataFrame, terms: list[str], weights: np.ndarray, tells: n
     return term_weights(counts[0]), telling(counts[1], sums[1, :, vocab]) & lengthy
 
 
-def subject_shares(docs: DataFrame, terms: list[str], weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray, names: list[str]) -> DataFrame:
+def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, with repeated places."""
+    for s in range(to.shape[1]):
+        to[:, s] += np.bincount(at, weights=rows[:, s], minlength=len(to))
+
+
+def subject_shares(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray, names: list[str]) -> DataFrame:
     """key, subject, share, sentences: of each document's subject-bearing sentences, the share about each subject."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, weights, tells, _prior(mixes)))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, tells, mixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w, told, priors = shared.value
-        scorer = Scorer(words, w, told)
+        scorer = Scorer(*shared.value)
+        label = pa.array(names, pa.string())
         for b in batches:
-            rows, subject, share, total = [], [], [], []
-            for i, (body, lang, leaf) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))):
-                if found := scorer.sentences(body, lang, priors[leaf]):
-                    held = np.bincount(found[0].argmax(1), minlength=len(names))
-                    for s in np.flatnonzero(held):
-                        rows.append(i), subject.append(names[s]), share.append(held[s] / held.sum()), total.append(int(held.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(subject, pa.string()), pa.array(share, pa.float64()), pa.array(total, pa.int64())], names=["key", "subject", "share", "sentences"])
+            for at, doc, post, _, _ in scorer.score(pa.RecordBatch.from_arrays(b.columns[1:], names=["lang", "leaf", "ids", "sizes"])):
+                held = np.bincount(doc * len(names) + post.argmax(1), minlength=(doc[-1] + 1) * len(names)).reshape(-1, len(names))
+                row, subject = np.nonzero(held)
+                total = held.sum(1)[row]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + row)), label.take(pa.array(subject)), pa.array(held[row, subject] / total), pa.array(total.astype(np.int64))], names=["key", "subject", "share", "sentences"])
 
-    return docs.select("key", "body", "lang", "leaf").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, subject string, share double, sentences long")
+    return docs.select("key", "lang", "leaf", "ids", "sizes").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, subject string, share double, sentences long")
 
 
 def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFrame) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -242,9 +293,10 @@ def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFra
     mixes = np.concatenate([leaf_subjects(*(x[g * LEAVES : (g + 1) * LEAVES] for x in (used, tagged)), by_subject[g]) for g in range(len(LANGUAGES))])
     of_leaves = lambda x: np.stack([mixes[g * LEAVES : (g + 1) * LEAVES].T @ x[g * LEAVES : (g + 1) * LEAVES] for g in range(len(LANGUAGES))])
     weights, tells = term_weights(of_leaves(used)), telling(of_leaves(held), of_leaves(size))
-    docs = staged(docs.join(leaves.select("key", "leaf"), "key"), "leafed")
+    # a row that repeats a key has each of its leaves' rows once: the leaf follows from the words
+    docs = coded(docs.join(leaves.select("key", "leaf").distinct(), "key"), terms, telling(of_leaves(held), of_leaves(size), PERHAPS))
     for _ in range(ROUNDS):
-        weights, tells = reestimated(docs, terms, weights, tells, mixes)
+        weights, tells = reestimated(docs, weights, tells, mixes)
     return docs, terms, weights, tells, mixes, names
 
 
@@ -256,5 +308,5 @@ def assigned(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataF
     """
     docs, terms, weights, tells, mixes, names = fitted(df, key, text, labels, areas)
     kind = df.schema[key].dataType.simpleString()
-    found = subject_shares(docs, terms, weights, tells, mixes, names) if terms else df.sparkSession.createDataFrame([], f"key {kind}, subject string, share double, sentences long")
+    found = subject_shares(docs, weights, tells, mixes, names) if terms else df.sparkSession.createDataFrame([], f"key {kind}, subject string, share double, sentences long")
     return found.where(F.col("share") >= least).groupBy("key", "subject").agg(F.max("share").alias("share"), F.max("sentences").alias("sentences")).withColumnRenamed("key", key)
