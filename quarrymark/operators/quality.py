@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quarrymark.sources.shared import new_folder, staged
 
@@ -72,7 +72,7 @@ def signed_deltas(counts: DataFrame) -> DataFrame:
     return both.join(order.select("column_id", "load_no", "prev_load"), ["column_id", "load_no"]).withColumn("delta", F.col("n") - F.col("n_before"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _strict_json(values: pd.Series) -> pd.Series:
     def refuse(_: str) -> None:
         raise ValueError
