@@ -65,6 +65,9 @@ _BOX = r"(?<!\w)p\.?[ ]?o\.?[ ]?box[ ]\d{1,6}"
 _GERMAN = rf"(?<!\w)(?:(?:am|an|im|in|auf|zum|zur|bei|unter)[ ](?:(?:der|den|dem)[ ])?(?:{_WORD}[ ]){{1,2}}|(?:{_WORD}[ ]){{0,1}}[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|zeile|gasse|allee|platz|ufer|ring|damm|hof|steig|markt)[ ])\d{{1,4}}[a-z]?"
 _POST = r"(?:\d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]?[ ]\d[A-Z]{2})(?!\w)"
 _STREETS = {"house": re.compile(_HOUSE, re.I), "box": re.compile(_BOX, re.I), "german": re.compile(_GERMAN, re.I)}
+#: A house number before a postcode, where a street of the German form ends; how long such a street may be.
+_GERMAN_END = re.compile(r"(?<=[ ])\d{1,4}[a-z]?(?=,[ ]?\n?\d{4,5}[ ]|,?\n\d{4,5}[ ])", re.I)
+_GERMAN_LONG = 70
 _FIRST_TOWN = re.compile(rf"(?:,[ ]?|,?[ ]?\n|,?[ ](?=\d{{5}}))(?:(?P<pre>\d{{4,5}})[ ])?(?P<town>{_WORD})")
 _MORE_TOWN = re.compile(rf"[ ]{_WORD}")
 _POSTCODE = re.compile(rf"[ ]{_POST}")
@@ -92,10 +95,15 @@ def _emails(text: str) -> Iterator[Candidate]:
         yield m.start(), m.end(), "email", ["email", "email@" if "@" in m[0] else "email-spelled"]
 
 
+#: Where a number of any form can begin.
+_NUMBER_START = re.compile(r"(?<!\w)(?:[+(]|[A-Z]{0,12}[ ]?(?=\d))")
+
+
 def _numbers(text: str) -> Iterator[Candidate]:
+    starts = [m.start() for m in _NUMBER_START.finditer(text)]
     for kind, forms, label in (("phone", _PHONE, _PHONE_LABEL), ("id_number", _ID, _ID_LABEL)):
         for name, form in forms.items():
-            for m in form.finditer(text):
+            for m in filter(None, (form.match(text, at) for at in starts)):
                 before, after = _around(text, m.start(), m.end())
                 digits = sum(c.isdigit() for c in m[0])
                 if kind == "phone" and not 7 <= digits <= 15:
@@ -111,21 +119,28 @@ def _numbers(text: str) -> Iterator[Candidate]:
                 yield m.start(), m.end(), kind, f
 
 
-def _addresses(text: str, towns: frozenset[str]) -> Iterator[Candidate]:
-    seen: set[tuple[int, int]] = set()
-    for name, street in _STREETS.items():
+def _streets(text: str) -> Iterator[tuple[str, int, int]]:
+    """Form, start and end of what may be a street with its number. One may begin within another: "5 people at 12 Mill Road"."""
+    for name in ("house", "box"):
         at = 0
-        while m := street.search(text, at):
-            # a house number's street may also begin later: "5 people at 12 Mill Road"
+        while m := _STREETS[name].search(text, at):
             at = m.start() + 1
-            first = _FIRST_TOWN.match(text, m.end())
-            if not first:
-                continue
-            before, _ = _around(text, m.start(), m.end())
+            yield name, m.start(), m.end()
+    for end in _GERMAN_END.finditer(text):
+        at = max(0, end.start() - _GERMAN_LONG)
+        while m := _STREETS["german"].search(text, at, end.end()):
+            at = m.start() + 1
+            if m.end() == end.end():
+                yield "german", m.start(), m.end()
+
+
+def _addresses(text: str, towns: frozenset[str]) -> Iterator[Candidate]:
+    seen: set[tuple[int, int]] = set()
+    for name, begin, upto in _streets(text):
+        if first := _FIRST_TOWN.match(text, upto):
+            before, _ = _around(text, begin, upto)
             base = ["address", f"address:{name}"]
             base.append("address:label" if _ADDRESS_LABEL.search(before) else "address:bare")
-            if name == "german" and not first["pre"]:
-                base.append("address:german-no-code")
             end, words = first.end(), [first["town"]]
             while True:
                 town = " ".join(words).lower()
@@ -137,9 +152,9 @@ def _addresses(text: str, towns: frozenset[str]) -> Iterator[Candidate]:
                     after = text[stop : stop + 2]
                     edge = "stop" if not after or after[0] in ".,;\n)|" else "upper" if after[1:].isupper() else "digit" if after[1:].isdigit() else "lower"
                     cased = "mixed" if len(words) > 1 and len({w[0].isupper() for w in words}) > 1 else "cased"
-                    if (m.start(), stop) not in seen and stop - m.start() <= MAX_SPAN:
-                        seen.add((m.start(), stop))
-                        yield m.start(), stop, "address", [*base, f"town:{known}", f"town:{cased}", f"edge:{edge}:{'code' if coded else 'plain'}", "address:code" if coded else "address:plain"]
+                    if (begin, stop) not in seen and stop - begin <= MAX_SPAN:
+                        seen.add((begin, stop))
+                        yield begin, stop, "address", [*base, f"town:{known}", f"town:{cased}", f"edge:{edge}:{'code' if coded else 'plain'}", "address:code" if coded else "address:plain"]
                 more = _MORE_TOWN.match(text, end)
                 if not more or len(words) == 3:
                     break
