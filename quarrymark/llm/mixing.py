@@ -48,15 +48,14 @@ def fit_cells(size: np.ndarray, source: np.ndarray, others: list[np.ndarray], sh
             rake(m, target)
             np.minimum(x, limit, out=x)
         # the sources last: what the cap cuts off goes to the source's other cells
-        for _ in range(50):
+        rake(source, aim)
+        while (x > limit * (1 + 1e-12)).any():
+            np.minimum(x, limit, out=x)
             free = x < limit * (1 - 1e-12)
             fixed = np.bincount(source, weights=np.where(free, 0, x), minlength=len(aim))
             loose = np.bincount(source, weights=np.where(free, x, 0), minlength=len(aim))
             factor = np.divide(aim - fixed, loose, out=np.ones_like(loose), where=loose > 0)
-            x[free] *= factor[source][free]
-            if not (x > limit * (1 + 1e-12)).any():
-                break
-            np.minimum(x, limit, out=x)
+            x[free] *= np.maximum(factor, 1.0)[source][free]
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
