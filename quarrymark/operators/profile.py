@@ -55,14 +55,32 @@ def column_facts(df: DataFrame, table_name: str) -> DataFrame:
     return _stacked(one, rows)
 
 
+def _comparable(kind: T.DataType) -> T.DataType:
+    """Type in which the values of a column are made distinct: columns of one such type go together, without turning numbers into text."""
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    return kind if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else T.StringType()
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """column_name, distinct_count, distinct_lower (of strings): exact, nulls aside, from one shuffle of distinct (column, value) pairs."""
-    fields = df.schema.fields
-    pairs = _stacked(df, [F.struct(F.lit(f.name).alias("column_name"), F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"), _text(f.name).alias("value")) for f in fields])
-    values = pairs.where("value is not null").distinct()
-    # lower-case forms fold on the values' partitioning, so that a column's set is never in one task
-    folded = values.groupBy("column_name", "is_text", F.when(F.col("is_text"), F.lower("value")).otherwise(F.col("value")).alias("low")).agg(F.count("*").alias("n"))
-    return folded.groupBy("column_name").agg(F.sum("n").alias("distinct_count"), F.max("is_text").alias("is_text"), F.count("*").alias("low")).select("column_name", "distinct_count", F.when(F.col("is_text"), F.col("low")).alias("distinct_lower"))
+    """column_name, distinct_count, distinct_lower (of strings): exact, nulls aside, from one shuffle of the distinct (column, value) pairs of each type."""
+    groups: dict[str, list[tuple[int, str, bool]]] = {}
+    for i, f in enumerate(df.schema.fields):
+        groups.setdefault(_comparable(f.dataType).simpleString(), []).append((i, f.name, isinstance(f.dataType, T.StringType)))
+    parts = []
+    for kind, fields in groups.items():
+        pairs = _stacked(df, [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast(kind).alias("value"), F.lit(text).alias("is_text")) for i, c, text in fields])
+        values = pairs.where("value is not null").distinct()
+        if any(text for _, _, text in fields):
+            # lower-case forms fold on the values' own partitioning, so that a column's set is never in one task
+            values = values.groupBy("i", "is_text", F.when(F.col("is_text"), F.lower("value")).otherwise(F.col("value")).alias("low")).agg(F.count("*").alias("n"))
+        else:
+            values = values.withColumn("n", F.lit(1))
+        parts.append(values.groupBy("i").agg(F.sum("n").cast("long").alias("distinct_count"), F.max("is_text").alias("is_text"), F.count("*").alias("low")))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return union_all(parts).select(names[F.col("i")].alias("column_name"), "distinct_count", F.when(F.col("is_text"), F.col("low")).alias("distinct_lower"))
 
 
 def fingerprints(df: DataFrame, table_name: str, max_length: dict[str, int] | None = None) -> DataFrame:

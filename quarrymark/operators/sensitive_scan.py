@@ -38,17 +38,20 @@ def match_counts(cells: DataFrame, strict: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
-            for t, c, v in zip(*(x.to_pylist() for x in b.columns)):
-                total[t, c, None, False] += 1
+            for t, c, v, times in zip(*(x.to_pylist() for x in b.columns)):
+                total[t, c, None, False] += times
                 seen = {}
                 for m in sensitive.scan(v, strict) if v else ():
                     seen.setdefault(m.kind, m.valid)  # the first of a kind in a cell counts
                 for kind, valid in seen.items():
-                    total[t, c, kind, valid] += 1
+                    total[t, c, kind, valid] += times
         rows = [(*k, n) for k, n in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["table_name", "column_name", "kind", "ok", "n"])
 
-    counted = cells.select("table_name", "column_name", "value").mapInArrow(run, "table_name string, column_name string, kind string, ok boolean, n long")
+    values = cells.groupBy("table_name", "column_name", "value").agg(F.count("*").alias("times"))  # each different value is scanned once
+    # the work is in the scan and not in the bytes: all cores, however small the shuffle was
+    spread = values.repartition(2 * cells.sparkSession.sparkContext.defaultParallelism)
+    counted = spread.mapInArrow(run, "table_name string, column_name string, kind string, ok boolean, n long")
     return counted.groupBy("table_name", "column_name", "kind").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"))
 
 
