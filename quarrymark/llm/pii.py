@@ -128,8 +128,12 @@ _FRAMES = {
 }
 
 
-def _composer(r: random.Random) -> dict:
-    """Makers of one random mention of each kind, and the gazetteer they draw from."""
+#: German texts with numbers that are no streets.
+_GERMAN_FILL = ("Im Jahr 2019, nach dem Umbau, zog die Abteilung um. ", "Am Montag 12, dann am Freitag. ", "Auf Seite 14, Absatz 3. ")
+
+
+def _composer(r: random.Random, german: random.Random) -> dict:
+    """Makers of one random mention of each kind, and the gazetteer they draw from; german draws the forms of German streets."""
     syllable = lambda: r.choice("bcdfghklmnprstvz") + r.choice("aeiou") + r.choice(["", "l", "n", "r", "s", "th"])
     word = lambda k: "".join(syllable() for _ in range(k)).capitalize()
     given, family, towns = [word(2) for _ in range(60)], [word(2) + r.choice(["by", "moor", "holt", "acre", "man"]) for _ in range(60)], [word(2) + "heim" for _ in range(12)] + [f"{word(1)} {word(2)}" for _ in range(8)]
@@ -158,7 +162,12 @@ def _composer(r: random.Random) -> dict:
             f"{house} {street}, {town} {digits(5)}", f"{house}{r.choice('abc')} {street}, Unit #{r.randint(1, 12)}, {town}", f"Flat {r.randint(1, 20)}, {house} {street}, {town} {town[:2].upper()}{digits(1)} {digits(1)}ZX",
             f"P.O. Box {digits(3)}, {town} {digits(5)}", f"{word(3)}{r.choice(['weg', 'zeile', 'str.', 'gasse'])} {house}, {digits(5)} {town}", f"{house} {street}\n{town} {digits(5)}", f"{house} {street} apt {house % 30}b, {town}".lower(),
         )
-        return f"Am Alten {word(2)} {house}, {digits(5)} {town}" if r.random() < 0.05 else out[kind]
+        if r.random() < 0.05:
+            return f"Am Alten {word(2)} {house}, {digits(5)} {town}"
+        if kind == 4 and german.random() < 0.5:  # the postcode elsewhere or none
+            road, code = out[4].removesuffix(f" {town}").split(", ")
+            return german.choice([f"{road}, {town}", f"{road}\n{town}", f"{road} {code} {town}", f"{road}, {town} {code}"])
+        return out[kind]
 
     def name() -> str:
         g, f, i = known(given), known(family), letter() + "."
@@ -171,12 +180,12 @@ def _composer(r: random.Random) -> dict:
 
 def practice(count: int = PRACTICE, seed: int = 11) -> list[tuple[str, set[tuple[int, int, str]], Gazetteer]]:
     """Composed texts with their mentions (start, end, kind) and the gazetteer of their names."""
-    r = random.Random(seed)
+    r, german = random.Random(seed), random.Random(seed + 1000)
     out = []
     for n in range(count):
         if n % 50 == 0:
-            c = _composer(r)
-        text, gold = "", set()
+            c = _composer(r, german)
+        text, gold = german.choice(_GERMAN_FILL) if german.random() < 0.05 else "", set()
         for _ in range(r.randint(2, 6)):
             if r.random() < 0.45:
                 text += r.choice(_FILL).replace("{F}", r.choice(c["family"]))

@@ -65,10 +65,11 @@ _BOX = r"(?<!\w)p\.?[ ]?o\.?[ ]?box[ ]\d{1,6}"
 _GERMAN = rf"(?<!\w)(?:(?:am|an|im|in|auf|zum|zur|bei|unter)[ ](?:(?:der|den|dem)[ ])?(?:{_WORD}[ ]){{1,2}}|(?:{_WORD}[ ]){{0,1}}[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|zeile|gasse|allee|platz|ufer|ring|damm|hof|steig|markt)[ ])\d{{1,4}}[a-z]?"
 _POST = r"(?:\d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]?[ ]\d[A-Z]{2})(?!\w)"
 _STREETS = {"house": re.compile(_HOUSE, re.I), "box": re.compile(_BOX, re.I), "german": re.compile(_GERMAN, re.I)}
-#: A house number before a postcode, where a street of the German form ends; how long such a street may be.
-_GERMAN_END = re.compile(r"(?<=[ ])\d{1,4}[a-z]?(?=,[ ]?\n?\d{4,5}[ ]|,?\n\d{4,5}[ ])", re.I)
-_GERMAN_LONG = 70
-_FIRST_TOWN = re.compile(rf"(?:,[ ]?|,?[ ]?\n|,?[ ](?=\d{{5}}))(?:(?P<pre>\d{{4,5}})[ ])?(?P<town>{_WORD})")
+_TOWN_GAP = r"(?:,[ ]?|,?[ ]?\n|,?[ ](?=\d{5}))"
+_FIRST_TOWN = re.compile(rf"{_TOWN_GAP}(?:(?P<pre>\d{{4,5}})[ ])?(?P<town>{_WORD})")
+#: A house number that a town can follow, where a street of the German form ends.
+_GERMAN_END = re.compile(rf"(?<=[ ])\d{{1,4}}[a-z]?(?={_TOWN_GAP}(?:\d{{4,5}}[ ])?[^\W\d_])", re.I)
+_GERMAN_ROAD = re.compile(r"(?:straße|strasse|str\.|weg|zeile|gasse|allee|platz|ufer|ring|damm|hof|steig|markt)[ ]\d{1,4}[a-z]?$", re.I)
 _MORE_TOWN = re.compile(rf"[ ]{_WORD}")
 _POSTCODE = re.compile(rf"[ ]{_POST}")
 _ADDRESS_LABEL = re.compile(r"(?:address|adr|lives? at|living at|resid\w+ at|go(?:es)? to|ship \w+ \w+ to|send \w* ?to|home|wohnhaft)\s*[:.]?\s*$", re.I)
@@ -127,7 +128,7 @@ def _streets(text: str) -> Iterator[tuple[str, int, int]]:
             at = m.start() + 1
             yield name, m.start(), m.end()
     for end in _GERMAN_END.finditer(text):
-        at = max(0, end.start() - _GERMAN_LONG)
+        at = max(0, end.end() - MAX_SPAN)
         while m := _STREETS["german"].search(text, at, end.end()):
             at = m.start() + 1
             if m.end() == end.end():
@@ -141,6 +142,11 @@ def _addresses(text: str, towns: frozenset[str]) -> Iterator[Candidate]:
             before, _ = _around(text, begin, upto)
             base = ["address", f"address:{name}"]
             base.append("address:label" if _ADDRESS_LABEL.search(before) else "address:bare")
+            if name == "german" and text[begin].islower() and not text[begin:upto].islower():
+                base.append("address:german-lower-first")  # "at Mühlenweg 3"
+            if name == "german" and not first["pre"]:
+                base.append("address:german-no-code")
+                base.append("address:german-road" if _GERMAN_ROAD.search(text, begin, upto) else "address:german-other")
             end, words = first.end(), [first["town"]]
             while True:
                 town = " ".join(words).lower()

@@ -53,3 +53,14 @@ def test_gazetteer_counts_all_rows(spark):
     people = spark.createDataFrame([("Ann", "Lee"), ("ann ", "Lee"), ("Bob", None)], "f string, l string")
     g = pii.gazetteer(texts, "t", [(people, "f", "l")])
     assert (g.given, g.family, g.towns) == ({"ann"}, {"lee"}, {"newtown"})
+
+
+@pytest.mark.parametrize("address", ["Lindenweg 12, Velstadt", "Lindenweg 12\nVelstadt", "Lindenweg 12 10115 Velstadt", "Lindenweg 12, Velstadt 10115", f"{'Linden' * 12}weg 12, 10115 Velstadt"])
+def test_german_streets_without_a_postcode_before_the_town(address):
+    found = pii.decode(candidates(f"Home address: {address}.", GAZ), pii.model())
+    assert {(k, f"Home address: {address}."[a:b]) for a, b, k, _ in found} == {("address", address)}
+
+
+def test_german_numbers_that_are_no_streets():
+    for text in ("Im Jahr 2020, als der Umbau begann.", "Am Dienstag 3, dann am Freitag.", "Auf Seite 9, Absatz 2."):
+        assert not pii.decode(candidates(text, GAZ), pii.model())
