@@ -35,8 +35,6 @@ LEAF_TERMS = 15
 TELLING = 2.5
 #: ... and if its documents have so many subject-bearing sentences in the mean, so that the wording of stubs isn't taken for a subject's.
 MEAN_SENTENCES = 3
-#: Terms that at first tell subjects apart less than so much are left out of the sentences for good.
-PERHAPS = 1.3
 #: Documents scored at once.
 SLICE = 1000
 ROUNDS = 3
@@ -132,33 +130,33 @@ def term_weights(counts: np.ndarray) -> np.ndarray:
     return (share / share.mean(1, keepdims=True)).transpose(0, 2, 1)
 
 
-def telling(held: np.ndarray, docs: np.ndarray, times: float = TELLING) -> np.ndarray:
+def telling(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """(language, term): whether a term tells subjects apart, from documents holding it (language, subject, term) and all documents (language, subject)."""
     share = (held + 0.02) / (docs[:, :, None] + 1)
-    return share.max(1) >= times * np.median(share, 1)
+    return share.max(1) >= TELLING * np.median(share, 1)
 
 
-def coded(docs: DataFrame, terms: list[str], perhaps: np.ndarray) -> DataFrame:
-    """key, lang, leaf, ids, sizes of (key, body, lang, leaf): each sentence as the numbers of its terms that may tell subjects apart, and how many those are; sentences without any are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, perhaps))
+def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """key, lang, leaf, ids, sizes, own of (key, body, lang, leaf): each sentence as the numbers of its terms, and how many those are; sentences without any are left out. own: the different ones of the document."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tells = shared.value
-        number = [{t: i for i, t in enumerate(words) if tells[g, i]} for g in range(len(LANGUAGES))]
+        get = shared.value.get
         for b in batches:
-            ids, sizes, per_doc = [], [], [[0], [0]]
-            for body, lang in zip(b.column(1), b.column(2).to_pylist()):
-                get = number[lang].get
+            ids, sizes, own, per_doc = [], [], [], [[0], [0], [0]]
+            for body in b.column(1):
+                at = len(ids)
                 for line in body.as_py().split("\n"):
                     held = [i for i in map(get, line.split(" ")) if i is not None]
                     if held:
                         ids += held
                         sizes.append(len(held))
-                per_doc[0].append(len(ids)), per_doc[1].append(len(sizes))
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in zip(per_doc, (ids, sizes))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *lists], names=["key", "lang", "leaf", "ids", "sizes"])
+                own += set(ids[at:])
+                per_doc[0].append(len(ids)), per_doc[1].append(len(sizes)), per_doc[2].append(len(own))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in zip(per_doc, (ids, sizes, own))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *lists], names=["key", "lang", "leaf", "ids", "sizes", "own"])
 
-    schema = f"key {docs.schema['key'].dataType.simpleString()}, lang int, leaf int, ids array<int>, sizes array<int>"
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, lang int, leaf int, ids array<int>, sizes array<int>, own array<int>"
     return staged(docs.select("key", "body", "lang", "leaf").mapInArrow(run, schema), "coded")
 
 
@@ -212,8 +210,8 @@ def reestimated(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes:
         sums = np.zeros((3, langs, vocab + 1, width))  # of sentences, of documents, of documents times their sentences; the last term counts documents
         flat = sums.reshape(3, -1, width)
         for b in batches:
-            lang, ids = b.column(0).to_numpy(), b.column(2)
-            lengths = np.diff(ids.offsets.to_numpy())
+            lang, own = b.column(0).to_numpy(), b.column(4)
+            ends, terms = own.offsets.to_numpy(), own.values.to_numpy()
             for at, doc, post, term, line in scorer.score(b):
                 _add(flat[0], term + term // vocab, post[line])  # each language has a place more than terms
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -222,18 +220,14 @@ def reestimated(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes:
                 row = at + doc[first]
                 _add(flat[1], lang[row].astype(np.int64) * (vocab + 1) + vocab, total / count[:, None])
                 # every term of a document once, telling or not
-                inside = np.zeros(b.num_rows, np.int64) - 1
-                inside[row] = np.arange(len(row))
-                owner = np.repeat(inside, lengths)
-                place = ids.flatten().to_numpy() + np.repeat(lang, lengths).astype(np.int64) * (vocab + 1)
-                pair = np.unique((owner * flat.shape[1] + place)[owner >= 0])
-                owner, place = pair // flat.shape[1], pair % flat.shape[1]
+                owner = np.repeat(np.arange(len(row)), ends[row + 1] - ends[row])
+                place = terms[np.concatenate([np.arange(ends[i], ends[i + 1]) for i in row])] + lang[row][owner].astype(np.int64) * (vocab + 1)
                 _add(flat[1], place, (total / count[:, None])[owner])
                 _add(flat[2], place, total[owner])
         at = np.nonzero(sums > 1e-6)
         yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(sums[at])], names=["of", "g", "t", "s", "n"])
 
-    rows = docs.select("lang", "leaf", "ids", "sizes").mapInArrow(run, "of long, g long, t long, s long, n double").groupBy("of", "g", "t", "s").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("lang", "leaf", "ids", "sizes", "own").mapInArrow(run, "of long, g long, t long, s long, n double").groupBy("of", "g", "t", "s").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((3, langs, vocab + 1, width))
     of, g, t, s, n = (c.to_numpy() for c in rows.columns)
     sums[of, g, t, s] = n
@@ -294,7 +288,7 @@ def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFra
     of_leaves = lambda x: np.stack([mixes[g * LEAVES : (g + 1) * LEAVES].T @ x[g * LEAVES : (g + 1) * LEAVES] for g in range(len(LANGUAGES))])
     weights, tells = term_weights(of_leaves(used)), telling(of_leaves(held), of_leaves(size))
     # a row that repeats a key has each of its leaves' rows once: the leaf follows from the words
-    docs = coded(docs.join(leaves.select("key", "leaf").distinct(), "key"), terms, telling(of_leaves(held), of_leaves(size), PERHAPS))
+    docs = coded(docs.join(leaves.select("key", "leaf").distinct(), "key"), terms)
     for _ in range(ROUNDS):
         weights, tells = reestimated(docs, weights, tells, mixes)
     return docs, terms, weights, tells, mixes, names

@@ -67,3 +67,13 @@ def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.assigned(docs, "doc_id", "text", labels, spark.createDataFrame([("law",)], "subject string")).count() == 0
     assert subjects.assigned(docs.limit(0), "doc_id", "text", labels, labels.select("subject")).count() == 0
+
+
+def test_every_term_of_the_vocabulary_is_coded(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, document(r, [sorted(FIELDS)[i % 3]])) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, sorted(FIELDS)[i % 3]) for i in range(0, 90, 4)], "doc_id long, subject string")
+    coded, terms, *_ = subjects.fitted(docs, "doc_id", "text", labels, labels.select("subject").distinct())
+    bodies = {x["key"]: x["body"] for x in subjects.bodies(docs, "doc_id", "text").collect()}
+    for x in coded.collect():
+        assert [terms[i] for i in x["ids"]] == [w for w in bodies[x["key"]].split() if w in set(terms)]
