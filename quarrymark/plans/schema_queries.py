@@ -12,7 +12,7 @@ from quarrymark.plans.column_queries import side
 from quarrymark.plans.relation_queries import facts, fk_candidates, overlaps
 from quarrymark.sources import exports
 from quarrymark.sources.shared import new_folder
-from quarrymark.sources.tables import table
+from quarrymark.sources.tables import names, table
 from quarrymark.streaming.profile import windowed_profile
 
 TEXTS = {
@@ -237,13 +237,18 @@ CONTEXT_SQL = _NAMED_SQL + f"SELECT child_table AS source, parent_table AS targe
 # ---- sensitive data -------------------------------------------------------------------
 
 
+def _text_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of every string column of every table."""
+    found = {t: (df := table(spark, d, t), [c for c, kind in df.dtypes if kind == "string"]) for t in names(spark, d)}
+    return sensitive_scan.text_cells({t: x for t, x in found.items() if x[1]})
+
+
 def pii_findings(spark: SparkSession, d: str) -> DataFrame:
-    cells = sensitive_scan.text_cells({t: (table(spark, d, t), cols) for t, cols in TEXTS.items()})
-    return sensitive_scan.findings(sensitive_scan.match_counts(cells))
+    return sensitive_scan.findings(sensitive_scan.match_counts(_text_cells(spark, d)))
 
 
 def pii_findings_strict(spark: SparkSession, d: str) -> DataFrame:
-    cells = sensitive_scan.text_cells({t: (table(spark, d, t), cols) for t, cols in TEXTS.items()})
+    cells = _text_cells(spark, d)
     return views.with_regulations(sensitive_scan.findings(sensitive_scan.match_counts(cells, strict=True)), sensitive_scan.regulations(spark))
 
 

@@ -95,3 +95,11 @@ def test_exports(spark, tmp_path):
         exports.extracted(rel, str(tmp_path / "x"), percent=0)
     (tmp_path / "a.parquet").write_text("x")
     assert exports.removed(["a.parquet", "../etc", "none"], str(tmp_path), dry_run=False) == [str(tmp_path / "a.parquet")] and not (tmp_path / "a.parquet").exists()
+
+
+def test_pii_findings_of_every_table(spark):
+    from quarrymark.plans import schema_queries
+
+    found = {(r["table_name"], r["column_name"], r["pii_type"]) for r in schema_queries.pii_findings(spark, "/root/testdata/sf0.001").collect()}
+    assert {("articles", "body", "EMAIL"), ("employees", "work_email", "EMAIL")} <= found, sorted(x for x in found if x[2] == "EMAIL" or x[0] in ("articles", "documents"))
+    assert ("documents", "text") in {x[:2] for x in found}
