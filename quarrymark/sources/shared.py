@@ -33,12 +33,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage and computes df once."""
+def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: cuts lineage and computes df once.
+
+    by: a column of few values, whose rows are kept apart so that a filter on it reads only them.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def pinned(df: DataFrame) -> DataFrame:
