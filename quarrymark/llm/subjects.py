@@ -17,17 +17,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarrymark.llm import latex
 from quarrymark.sources.shared import staged
 
 #: Leaves of each language's tree.
 LEAVES = 64
-#: A term occurs in at least this share of the documents (and in 5 of them), which bounds the vocabulary by documents' mean length over it.
+#: Rounds of k-means at each level of a tree.
+TREE_ROUNDS = 6
+#: A term occurs in at least 4 documents and this share of them on top, which bounds the vocabulary by documents' mean length over the share.
 MIN_DF = 1e-4
 #: Discriminative terms that name a leaf.
 LEAF_TERMS = 15
@@ -45,36 +47,48 @@ FUNCTION_WORDS = {
     "es": "los las del que con por para una entre sobre sin luego más este como tienen cuenta relación caso casos valores examinamos".split(),
 }
 LANGUAGES = [*FUNCTION_WORDS]
+#: Rows of ``bodies`` with any words.
+FILLED = "size(own) > 0"
 
 
 def bodies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, body, lang: the words of each row's typeset sentences, a line per sentence; empty for null, empty and unfinished texts without any.
+    """key, lang, own, times, places, sizes: the words of each row's typeset sentences; all lists empty for null, empty and unfinished texts without any.
 
-    lang is the number in LANGUAGES of the language most of whose function words occur, the first of equals.
+    lang is the number in LANGUAGES of the language most of whose function words occur, the first
+    of equals. own: the different words of the row; times: how often each occurs; places: the
+    words in order, as places in own; sizes: the words of each sentence.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, langs = [], []
+            langs, own, times, places, sizes, per_doc = [], [], [], [], [], [[0], [0], [0]]
             for t in b.column(1):
-                lines = [x for s in latex.sentences(t.as_py()) if (x := latex.words(s))]
+                lines = latex.sentence_words(t.as_py())
                 held = Counter(chain.from_iterable(lines))
-                of = [sum(map(held.__getitem__, f)) for f in FUNCTION_WORDS.values()]
-                out.append("\n".join(map(" ".join, lines)))
-                langs.append(of.index(max(of)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(langs, pa.int32())], names=["key", "body", "lang"])
+                langs.append(max(range(len(LANGUAGES)), key=lambda i: sum(held.get(w, 0) for w in FUNCTION_WORDS[LANGUAGES[i]])))
+                at = dict(zip(held, range(len(held))))
+                own += held
+                times += held.values()
+                places += map(at.__getitem__, chain.from_iterable(lines))
+                sizes += map(len, lines)
+                per_doc[0].append(len(own)), per_doc[1].append(len(places)), per_doc[2].append(len(sizes))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, k)) for o, v, k in zip((per_doc[0], *per_doc), (own, times, places, sizes), (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.int32()), *lists], names=["key", "lang", "own", "times", "places", "sizes"])
 
-    return staged(df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, body string, lang int"), "bodies")
+    return staged(df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, lang int, own array<string>, times array<int>, places array<int>, sizes array<int>"), "bodies")
 
 
 def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms, their document frequencies (language, term) over all documents, and the documents with any words of each language."""
-    filled = docs.where("body <> ''")
+    """Terms, their document frequencies (language, term) over all documents, and the documents with any words of each language.
+
+    A term is kept from 4 + MIN_DF * documents on, by one rule at every size.
+    """
+    filled = docs.where(FILLED)
     sizes = np.zeros(len(LANGUAGES))
     for r in filled.groupBy("lang").count().collect():
         sizes[r["lang"]] = r["count"]
-    words = filled.select("lang", F.explode(F.array_distinct(F.split("body", "[ \n]"))).alias("term")).groupBy("term", "lang").agg(F.count("*").alias("df"))
-    per_term = words.groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("lang", "df")).alias("by")).where(F.col("df") >= max(5, MIN_DF * sizes.sum()))
+    words = docs.select("lang", F.explode("own").alias("term")).groupBy("term", "lang").agg(F.count("*").alias("df"))
+    per_term = words.groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("lang", "df")).alias("by")).where(F.col("df") >= 4 + MIN_DF * sizes.sum())
     rows = sorted((r["term"], [(x["lang"], x["df"]) for x in r["by"]]) for r in per_term.collect())
     df = np.zeros((len(LANGUAGES), len(rows)))
     for i, (_, by) in enumerate(rows):
@@ -83,23 +97,61 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [t for t, _ in rows], df, sizes
 
 
-def clustered(docs: DataFrame, terms: list[str], df: np.ndarray, sizes: np.ndarray, seed: int = 7) -> DataFrame:
-    """key, tf (counts of terms), leaf of each document with any words.
+def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """key, lang, ids, sizes, own, tf of ``bodies`` with any words: each sentence as the numbers of its terms, and how many those are; sentences without any are left out. own: the different ones of the document; tf: a vector of their counts."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    width = len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for b in batches:
+            rows = np.arange(b.num_rows)
+            words = b.column(2)
+            coding = words.flatten().dictionary_encode()  # each different word of the batch is looked up once
+            number = np.array([get(w, -1) for w in coding.dictionary.to_pylist()], np.int32)[coding.indices.to_numpy()]
+            held = np.diff(words.offsets.to_numpy())
+            begin = np.cumsum(held) - held
+            places, sizes = b.column(4), b.column(5)
+            length = np.diff(places.offsets.to_numpy())
+            ids = number[places.flatten().to_numpy() + np.repeat(begin, length)]
+            lines = np.diff(sizes.offsets.to_numpy())
+            line = np.repeat(np.arange(lines.sum()), sizes.flatten().to_numpy())
+            known = ids >= 0
+            per_line = np.bincount(line[known], minlength=lines.sum())
+            of_line = np.repeat(rows, lines)
+            counts = b.column(3).flatten().to_numpy()
+            doc, mine = np.repeat(rows, held), number >= 0
+            order = np.lexsort((number[mine], doc[mine]))
+
+            def listed(values: np.ndarray, owner: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))])  # noqa: B023
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+            own = listed(number[mine][order], doc[mine], pa.int32())
+            sparse = [pa.array(np.full(b.num_rows, v), k) for v, k in ((0, pa.int8()), (width, pa.int32()))]
+            tf = pa.StructArray.from_arrays([*sparse, own, listed(counts[mine][order], doc[mine], pa.float64())], names=["type", "size", "indices", "values"])
+            lists = listed(ids[known], np.repeat(rows, length)[known], pa.int32()), listed(per_line[per_line > 0], of_line[per_line > 0], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, own, tf], names=["key", "lang", "ids", "sizes", "own", "tf"])
+
+    schema = T.StructType([docs.schema["key"], docs.schema["lang"], *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "sizes", "own")), T.StructField("tf", VectorUDT())])
+    return staged(docs.where(FILLED).mapInArrow(run, schema), "coded", by="lang")
+
+
+def clustered(docs: DataFrame, df: np.ndarray, sizes: np.ndarray, seed: int = 7) -> DataFrame:
+    """docs (coded) with the leaf of each row.
 
     The leaves are those of bisecting k-means of the normalised vectors, a tree for each language.
     Counts are weighted by the square of the inverse document frequency within the language, so
     that what all its documents say weighs next to nothing.
     """
-    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="tf", minTF=1.0)
-    tf = staged(counts.transform(docs.where("body <> ''").select("key", "lang", F.split("body", "[ \n]").alias("tokens"))).drop("tokens"), "counts")
     out = None
     for lang in np.flatnonzero(sizes):
         idf = np.maximum(np.log((sizes[lang] + 1) / (df[lang] + 1)), 0) ** 2
         weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf")
         unit = Normalizer(inputCol="tfidf", outputCol="unit")
-        vectors = unit.transform(weighted.transform(tf.where(F.col("lang") == int(lang)))).drop("tfidf")
-        model = BisectingKMeans(k=LEAVES, maxIter=6, seed=seed, featuresCol="unit", predictionCol="leaf").fit(vectors)
-        part = model.transform(vectors).select("key", "lang", (F.col("leaf") + int(lang) * LEAVES).alias("leaf"), "tf")
+        mine = unit.transform(weighted.transform(docs.where(F.col("lang") == int(lang)))).drop("tfidf")
+        model = BisectingKMeans(k=LEAVES, maxIter=TREE_ROUNDS, seed=seed, featuresCol="unit", predictionCol="leaf").fit(mine.select("unit"))
+        part = model.transform(mine).drop("unit").withColumn("leaf", F.col("leaf") + int(lang) * LEAVES)
         out = part if out is None else out.unionByName(part)
     return staged(out, "leaves")
 
@@ -136,30 +188,6 @@ def telling(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return share.max(1) >= TELLING * np.median(share, 1)
 
 
-def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """key, lang, leaf, ids, sizes, own of (key, body, lang, leaf): each sentence as the numbers of its terms, and how many those are; sentences without any are left out. own: the different ones of the document."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for b in batches:
-            ids, sizes, own, per_doc = [], [], [], [[0], [0], [0]]
-            for body in b.column(1):
-                at = len(ids)
-                for line in body.as_py().split("\n"):
-                    held = [i for i in map(get, line.split(" ")) if i is not None]
-                    if held:
-                        ids += held
-                        sizes.append(len(held))
-                own += set(ids[at:])
-                per_doc[0].append(len(ids)), per_doc[1].append(len(sizes)), per_doc[2].append(len(own))
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in zip(per_doc, (ids, sizes, own))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *lists], names=["key", "lang", "leaf", "ids", "sizes", "own"])
-
-    schema = f"key {docs.schema['key'].dataType.simpleString()}, lang int, leaf int, ids array<int>, sizes array<int>, own array<int>"
-    return staged(docs.select("key", "body", "lang", "leaf").mapInArrow(run, schema), "coded")
-
-
 def _softmax(score: np.ndarray) -> np.ndarray:
     score = np.exp(score - score.max(1, keepdims=True))
     return score / score.sum(1, keepdims=True)
@@ -272,14 +300,14 @@ def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFra
     terms, freq, sizes = vocabulary(docs)
     if not terms or not names:
         return docs, [], np.zeros(0), np.zeros(0), np.zeros(0), names
-    leaves = clustered(docs, terms, freq, sizes)
+    leaves = clustered(coded(docs, terms), freq, sizes)
     at = {s: i for i, s in enumerate(names)}
     groups, width, vocab = len(LANGUAGES) * LEAVES, len(names), len(terms)
     used, tagged, by_subject = np.zeros((groups, vocab)), np.zeros((groups, width)), np.zeros((len(LANGUAGES), width, vocab))
     held, size = np.zeros((groups, vocab)), np.zeros(groups)
     for r in leaves.groupBy("leaf").agg(Summarizer.metrics("sum", "numNonZeros", "count").summary(F.col("tf")).alias("tf")).collect():
         used[r["leaf"]], held[r["leaf"]], size[r["leaf"]] = r["tf"]["sum"].toArray(), r["tf"]["numNonZeros"].toArray(), r["tf"]["count"]
-    marked = staged(leaves.join(marks, "key"), "marked")
+    marked = staged(leaves.select("key", "lang", "leaf", "tf").join(marks, "key"), "marked")
     for r in marked.groupBy("leaf", "subject").count().collect():
         tagged[r["leaf"], at[r["subject"]]] = r["count"]
     for r in marked.groupBy("lang", "subject").agg(Summarizer.sum(F.col("tf")).alias("tf")).collect():
@@ -287,11 +315,9 @@ def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFra
     mixes = np.concatenate([leaf_subjects(*(x[g * LEAVES : (g + 1) * LEAVES] for x in (used, tagged)), by_subject[g]) for g in range(len(LANGUAGES))])
     of_leaves = lambda x: np.stack([mixes[g * LEAVES : (g + 1) * LEAVES].T @ x[g * LEAVES : (g + 1) * LEAVES] for g in range(len(LANGUAGES))])
     weights, tells = term_weights(of_leaves(used)), telling(of_leaves(held), of_leaves(size))
-    # a row that repeats a key has each of its leaves' rows once: the leaf follows from the words
-    docs = coded(docs.join(leaves.select("key", "leaf").distinct(), "key"), terms)
     for _ in range(ROUNDS):
-        weights, tells = reestimated(docs, weights, tells, mixes)
-    return docs, terms, weights, tells, mixes, names
+        weights, tells = reestimated(leaves, weights, tells, mixes)
+    return leaves, terms, weights, tells, mixes, names
 
 
 def assigned(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFrame, least: float = 0.25) -> DataFrame:
