@@ -6,8 +6,9 @@ score 0. A forward pass over the segment lattice sums over all sets of segments
 overlap, for training; its maximising twin chooses boundaries and types jointly.
 
 The weights are trained here, on texts that ``practice`` composes (a bounded number of labelled
-rows, PRACTICE). What the features know of the data at hand are three gazetteers counted over
-all rows: given and family names from name columns, and towns that stand before a postcode.
+rows, PRACTICE). What the features know of the data at hand are three gazetteers gathered from
+all rows: given and family names of name columns, and towns that stand before a postcode. A name
+need not be in them: titles, cues, verbs and an e-mail address of the same text speak for it too.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrymark.llm.pii_spans import Candidate, Gazetteer, candidates
+from quarrymark.llm.pii_practice import practice
+from quarrymark.llm.pii_spans import Candidate, Gazetteer, candidates, lookups
+from quarrymark.sources.shared import staged
 
 #: Composed texts on which the model is trained.
-PRACTICE = 600
+PRACTICE = 1000
 EPOCHS = 14
-#: Names and towns are known from this share of the rows on (and twice at least): at most its inverse of each are broadcast.
-MIN_SHARE = 2e-5
+#: The greatest number of names and towns that is broadcast, some 30 MB; of more, each text gets its own by a join.
+GAZETTEER_ROWS = 500_000
 
 
 # ---- the model -------------------------------------------------------------
@@ -111,101 +114,7 @@ def train(rows: list[tuple[list[Candidate], set[tuple[int, int, str]]]], epochs:
     return dict(w)
 
 
-# ---- composed texts to train on ---------------------------------------------
-
-_FILL = (
-    "Led the migration of 12 tables.", "Looking for work in data entry.", "See section 4.2.8 and annex 42-1.", "The meeting moved to June.", "Part no. 968-24-0478 is out of stock.",
-    "Order no. 657-72-087 shipped late.", "Case 47-118-20 was closed on 2024-03-18.", "Release 30.6.692.35 is live.", "ISBN 441-0-0000-3582-5 is missing.", "The build 20240412-4471 failed.",
-    "Model KA2533 replaced model KB200.", "We bought 5 crates @ 3.20 each.", "Use the info@ alias.", "Ping @channel first.", "Budget: 8,474,050 over 71 months.", "Gate 12, row 11, dock 3.",
-    "The {F} depot handled 30916 parcels.", "The {F} valley site opens soon.", "Score 533 of 700 points.", "Release 2 of the {F} ledger is out.", "Serial no. 884312905 was replaced.", "Has anyone tried 35 columns?", "Invoice 2211004387 is open.",
-)
-_FRAMES = {
-    "email": ("E-mail:{}; ", "Contact: {} ", "Best address is {}.", "Please write to <{}> before Friday.", "mail {} or use the portal", "It went to {}, not to us.", "sig: {}"),
-    "phone": ("Tel. {} ", "Call {} after six.", "Ring {}; ask for me.", "mobile: {} / evenings only", "My line is {}, leave a message.", "phone={} ", "{}"),
-    "id_number": ("SSN {} ", "My SSN {} is on file.", "(passport no. {})", "tax ID {}.", "Steuernummer {} ", "driving licence {}.", "travel document {}\n", "(TIN {})", "Soc. Sec. no. {}", "National insurance no. {}.", "personal number {} ", "national id {}."),
-    "address": ("Home address: {}.", "Lives at {} since last spring.", "adr: {} ", "Parcels go to {}, please.", "Ship the badge to {}.", "adr: {}\n", "We met at {}."),
-    "name": ("Ms {} will confirm the dates.", "I reported to Dr. {} for two years.", "spoke with {} about the rota", "Reference: {}.", "cc {} ", "{} signed off the audit.", "The shift was covered by {}, who left.", "{}\nProfile\n", "sig: {}"),
-}
-
-
-#: German texts with numbers that are no streets.
-_GERMAN_FILL = ("Im Jahr 2019, nach dem Umbau, zog die Abteilung um. ", "Am Montag 12, dann am Freitag. ", "Auf Seite 14, Absatz 3. ")
-
-
-def _composer(r: random.Random, german: random.Random) -> dict:
-    """Makers of one random mention of each kind, and the gazetteer they draw from; german draws the forms of German streets."""
-    syllable = lambda: r.choice("bcdfghklmnprstvz") + r.choice("aeiou") + r.choice(["", "l", "n", "r", "s", "th"])
-    word = lambda k: "".join(syllable() for _ in range(k)).capitalize()
-    given, family, towns = [word(2) for _ in range(60)], [word(2) + r.choice(["by", "moor", "holt", "acre", "man"]) for _ in range(60)], [word(2) + "heim" for _ in range(12)] + [f"{word(1)} {word(2)}" for _ in range(8)]
-    known = lambda names: r.choice(names) if r.random() < 0.95 else word(3)
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    letter = lambda: r.choice("ABCDEFGHKLMNPRSTVZ")
-    streets = ("Lane", "Row", "Street", "Way", "Road", "Ave.", "Sq", "Terrace", "Close")
-
-    def email() -> str:
-        who, host, top = r.choice([f"{r.choice(given)}.{r.choice(family)}", f"{r.choice(family)}_{r.choice(given)}+cv{digits(1)}", f"{r.choice(given)}%{r.choice(family)}.{digits(4)}", r.choice(given)]).lower(), word(2).lower(), r.choice(["example", "test", "invalid", "org"])
-        out = r.choice([f"{who}@{host}.{top}", f"{who} @ {host}.{top}", f"{who} (at) {host} (dot) {top}", f"{who}[at]{host}[dot]{top}", f"{who}@mail.{host}-co.{top}"])
-        return out.upper() if r.random() < 0.1 else out
-
-    def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+1{a}{b}{c}", f"+44 7700 900{a}", f"07700 900 {a}", f"0044 20 7946 {c}", f"+49 (0)30 23125-{a}", f"030/23125{a}"])
-
-    def id_number() -> str:
-        return r.choice([digits(9), f"{digits(3)} {digits(2)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(2)}/{digits(3)}/{digits(5)}", f"{digits(6)}-{digits(4)}", f"{letter()}{letter()}{digits(7)}", f"{letter()}{digits(4)}-{digits(3)}-{digits(2)}"])
-
-    def address() -> str:
-        street, town = f"{word(2)} {r.choice(streets)}", r.choice(towns) if r.random() < 0.95 else word(3)
-        house = r.randint(1, 240)
-        kind = r.randrange(7)
-        out = (
-            f"{house} {street}, {town} {digits(5)}", f"{house}{r.choice('abc')} {street}, Unit #{r.randint(1, 12)}, {town}", f"Flat {r.randint(1, 20)}, {house} {street}, {town} {town[:2].upper()}{digits(1)} {digits(1)}ZX",
-            f"P.O. Box {digits(3)}, {town} {digits(5)}", f"{word(3)}{r.choice(['weg', 'zeile', 'str.', 'gasse'])} {house}, {digits(5)} {town}", f"{house} {street}\n{town} {digits(5)}", f"{house} {street} apt {house % 30}b, {town}".lower(),
-        )
-        if r.random() < 0.05:
-            return f"Am Alten {word(2)} {house}, {digits(5)} {town}"
-        if kind == 4 and german.random() < 0.5:  # the postcode elsewhere or none
-            road, code = out[4].removesuffix(f" {town}").split(", ")
-            return german.choice([f"{road}, {town}", f"{road}\n{town}", f"{road} {code} {town}", f"{road}, {town} {code}"])
-        return out[kind]
-
-    def name() -> str:
-        g, f, i = known(given), known(family), letter() + "."
-        f = f"{f}-{r.choice(family)}" if r.random() < 0.07 else f
-        out = r.choice([f"{g} {f}", f"{g} {f}", f"{g} {f}", f"{f}, {g}", f"{i} {f}", f"{g} {i} {f}", f"{g} de {f}", f"de {f}, {g}"])
-        return out.upper() if r.random() < 0.12 else out.lower() if r.random() < 0.15 and "." not in out else out
-
-    return {"make": {"email": email, "phone": phone, "id_number": id_number, "address": address, "name": name}, "family": family, "gaz": Gazetteer(*(frozenset(x.lower() for x in xs) for xs in (given, family, towns)))}
-
-
-def practice(count: int = PRACTICE, seed: int = 11) -> list[tuple[str, set[tuple[int, int, str]], Gazetteer]]:
-    """Composed texts with their mentions (start, end, kind) and the gazetteer of their names."""
-    r, german = random.Random(seed), random.Random(seed + 1000)
-    out = []
-    for n in range(count):
-        if n % 50 == 0:
-            c = _composer(r, german)
-        text, gold = german.choice(_GERMAN_FILL) if german.random() < 0.05 else "", set()
-        for _ in range(r.randint(2, 6)):
-            if r.random() < 0.45:
-                text += r.choice(_FILL).replace("{F}", r.choice(c["family"]))
-            elif r.random() < 0.2:  # a signature: several mentions in a row
-                made = [(k, c["make"][k]()) for k in r.sample(["email", "phone", "name"], r.randint(2, 3))]
-                gap = r.choice([" | ", "; ", " / ", "\n", "\t"])
-                for i, (k, m) in enumerate(made):
-                    text += gap if i else ""
-                    gold.add((len(text), len(text) + len(m), k))
-                    text += m
-            else:
-                kind = r.choice([*_FRAMES, "name", "address"])
-                before, after = r.choice(_FRAMES[kind]).split("{}")
-                m = c["make"][kind]()
-                text += before
-                gold.add((len(text), len(text) + len(m), kind))
-                text += m + after
-            text += r.choice([" ", " ", "\n", "\n- "])
-        out.append((text, gold, c["gaz"]))
-    return out
+# ---- the operator -------------------------------------------------------------
 
 
 @functools.lru_cache(maxsize=2)
@@ -214,53 +123,77 @@ def model(count: int = PRACTICE) -> dict[str, float]:
     return train([(candidates(text, gaz), gold) for text, gold, gaz in practice(count)])
 
 
-# ---- the operator -------------------------------------------------------------
+def gazetteer(texts: DataFrame, text: str, people: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """v, kind (``given``, ``family``, ``town``), each once: every word of the name columns of people (table, given-name column, family-name column), and the towns of all texts: what stands between a comma or line break and a postcode.
 
+    Nothing is left out for being rare. Words of a single letter are no names.
+    """
+    parts = [
+        p[0].select(F.explode(F.split(F.lower(F.trim(F.col(f"`{p[of]}`"))), " +")).alias("v"), F.lit(kind).alias("kind")).where("length(v) > 1").distinct()
+        for p in people for of, kind in ((1, "given"), (2, "family"))
+    ]
+    found = F.regexp_extract_all(F.col(text), F.lit(r"(?:,[ ]?|\n)(\p{L}[\p{L}'-]+(?: \p{L}[\p{L}'-]+){0,3}) (?:\d{5}|[A-Z]{1,2}\d[0-9A-Z]? \d[A-Z]{2})(?!\w| \d)"), F.lit(1))
+    towns = texts.where(F.col(text).rlike(r"\d{5}|\d[A-Z]{2}")).select(F.explode(found).alias("v")).select(F.lower("v").alias("v"), F.lit("town").alias("kind"))
+    return functools.reduce(DataFrame.unionByName, parts, towns).distinct()
 
-def _frequent(values: DataFrame, rows: int) -> frozenset[str]:
-    """Values (column v) of at least MIN_SHARE of the rows and two; counted over all rows, the size of the result has a bound."""
-    kept = values.where("v is not null and v <> ''").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, MIN_SHARE * rows))
-    return frozenset(r["v"] for r in kept.select("v").collect())
 
+def _gathered(rows: list[tuple[str, str]]) -> Gazetteer:
+    return Gazetteer(*(frozenset(v for v, k in rows if k == kind) for kind in ("given", "family", "town")))
 
-def gazetteer(texts: DataFrame, text: str, people: list[tuple[DataFrame, str, str]]) -> Gazetteer:
-    """Names from (table, given-name column, family-name column), and towns from all texts: what stands between a comma or line break and a postcode."""
-    def names(of: int) -> frozenset[str]:
-        cols = [p[0].select(F.explode(F.split(F.lower(F.trim(F.col(p[of]))), " +")).alias("v")) for p in people]
-        values = functools.reduce(DataFrame.unionByName, cols)
-        return frozenset(x for x in _frequent(values, values.count()) if len(x) > 1)
 
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?:,[ ]?|\n)(\p{L}[\p{L}'-]+(?: \p{L}[\p{L}'-]+){0,2}) (?:\d{5}|[A-Z]{1,2}\d[0-9A-Z]? \d[A-Z]{2})(?!\w| \d)"), F.lit(1))
-    towns = texts.where(F.col(text).rlike(r"\d")).select(F.explode(found).alias("v")).select(F.lower("v").alias("v"))
-    return Gazetteer(names(1) if people else frozenset(), names(2) if people else frozenset(), _frequent(towns, texts.count()))
+FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("mention", pa.string())]))
 
 
-def mentions(df: DataFrame, text: str, gaz: Gazetteer, weights: dict[str, float] | None = None) -> DataFrame:
+def mentions(df: DataFrame, text: str, gaz: Gazetteer | DataFrame, weights: dict[str, float] | None = None, most: int = GAZETTEER_ROWS) -> DataFrame:
     """df's rows with ``found`` (array of struct start, end, kind, mention; characters from 0) and ``masked``, the text with [KIND] in place of each mention.
 
     Null texts have a null ``masked`` and nothing found; empty texts stay empty. All of a text
     outside the mentions is kept as it is. Rows may repeat; other columns pass through, and a
-    column already named found or masked is replaced.
+    column already named found or masked is replaced. A gazetteer of up to ``most`` rows is
+    broadcast; of a greater one each text gets the entries it can use by a join, with the same result.
     """
+    known = None
+    if isinstance(gaz, DataFrame):
+        gaz = staged(gaz, "gazetteer")
+        if gaz.limit(most + 1).count() <= most:
+            gaz = _gathered([tuple(r) for r in gaz.select("v", "kind").collect()])
+        else:
+            known, gaz = gaz, None
     shared = df.sparkSession.sparkContext.broadcast((gaz, weights or model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, w = shared.value
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("mention", pa.string())]))
         for batch in batches:
             found, masked = [], []
-            for t in batch.column(0).to_pylist():
-                spans = decode(candidates(t, g), w) if t else []
+            own = batch.column(2).to_pylist() if g is None else None
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                mine = g or _gathered([(x["v"], x["kind"]) for x in own[i] or ()])
+                spans = decode(candidates(t, mine), w) if t else []
                 found.append([{"start": a, "end": b, "kind": k, "mention": t[a:b]} for a, b, k, _ in spans])
                 masked.append(_masked(t, spans))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, kind), pa.array(masked, pa.string())], names=["row", "found", "masked"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, FOUND), pa.array(masked, pa.string())], names=["row", "found", "masked"])
 
     rest = [c for c in df.columns if c not in ("found", "masked")]
     packed = df.select(F.col(f"`{text}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, found array<struct<start:int,end:int,kind:string,mention:string>>, masked string"
+    if known is not None:
+        packed = _with_known(packed, known)
     return packed.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in rest], "found", "masked")
 
 
+def _with_known(packed: DataFrame, gaz: DataFrame) -> DataFrame:
+    """t, row, known: the gazetteer's entries that each text can use."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = sorted(lookups(t)) if t else []
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(words), pa.int64()), pa.array(words, pa.string())], names=["rid", "v"])
+
+    rows = staged(packed.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    hits = rows.select("rid", "t").mapInArrow(run, "rid long, v string").join(gaz, "v").groupBy("rid").agg(F.collect_list(F.struct("v", "kind")).alias("known"))  # as many as a text has words at most
+    return rows.join(hits, "rid", "left").select("t", "row", "known")
+
+
 def _masked(text: str | None, spans: list[Candidate]) -> str | None:
     if not spans:
         return text
@@ -272,7 +205,7 @@ def _masked(text: str | None, spans: list[Candidate]) -> str | None:
 
 
 def agreement(count: int = 200, seed: int = 977) -> Counter:
-    """Counts of right, missed and false mentions by kind on composed texts not trained on."""
+    """Counts of right, missed and false mentions by kind on composed texts not trained on, which hold other names and towns in the same sentences."""
     out: Counter = Counter()
     for text, gold, gaz in practice(count, seed):
         got = {c[:3] for c in decode(candidates(text, gaz), model())}
