@@ -98,6 +98,7 @@ _NO_NAMES = frozenset((
 _TITLE = re.compile(r"(?:^|[^\w])(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau|señor|señora|sra?|mx)\.?\s*$", re.I)
 _NAME_CUE = re.compile(r"\b(?:regards|sincerely|contact|from|name|attn|cc|to|by|with|dear|ask|met|supervisor|manager|referee|references?|author|editor|signed|according to|grüße)\s*[:.,]?\s*$", re.I)
 _NAME_AFTER = re.compile(r"\s(?:said|says|wrote|writes|called|joined|led|asked|told|confirmed|signed|reported|works?|worked|agreed|apologised|arrived|paid|resigned|chairs|chaired)\b|,?\s(?:who|whose)\b", re.I)
+_GLUE = frozenset("@%+_-")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _AT_ANY = re.compile(r"@|[ \[(]at[ \])]")
 
@@ -322,7 +323,7 @@ def _names(text: str, tokens: list[re.Match], code: str, emails: list[Candidate]
                     f.append(f"name:mailed{min(written, 2)}")
                 if follows:
                     f += [f"name:after:known{min(known, 2)}", f"name:{titled}:after:known{min(known, 2)}"]
-                if before[-1:].isalnum() or before[-1:] in "@%+_-" or after[:1] in "@%+_-":
+                if before[-1:].isalnum() or before[-1:] in _GLUE or after[:1] in _GLUE:
                     f.append("name:glued")
                 yield a, b, "name", f
 
