@@ -27,7 +27,7 @@ from quarrymark.llm.pii_spans import Candidate, Gazetteer, candidates, lookups
 from quarrymark.sources.shared import staged
 
 #: Composed texts on which the model is trained.
-PRACTICE = 1000
+PRACTICE = 1800
 EPOCHS = 14
 #: The greatest number of names and towns that is broadcast, some 30 MB; of more, each text gets its own by a join.
 GAZETTEER_ROWS = 500_000

@@ -29,7 +29,7 @@ def test_mentions(text, want):
 @pytest.mark.parametrize(
     ("text", "name"),
     [
-        ("Ms Priya Raghunathan will chair the panel.", "Priya Raghunathan"), ("We thank Dr. Tobias Wendelstein for the loan.", "Tobias Wendelstein"), ("Bogdan Kowalski joined the board in May.", "Bogdan Kowalski"),
+        ("Ms Priya Raghunathan will chair the panel.", "Priya Raghunathan"), ("We thank Dr. Tobias Wendelstein for the loan.", "Tobias Wendelstein"), ("That spring Bogdan Kowalski joined the board.", "Bogdan Kowalski"),
         ("Mr Ana Maria de la Cruz wrote it.", "Ana Maria de la Cruz"), ("priya.raghunathan@corvane.example | Priya Raghunathan", "Priya Raghunathan"), ("Supervisor: Tobias Wendelstein\n", "Tobias Wendelstein"), ("Dr. Zelda Wendelstein agreed.", "Zelda Wendelstein"),
     ],
 )
