@@ -1,10 +1,10 @@
 """Column-level data quality profile of loads of raw text cells.
 
 Method: a persistent table of value counts per column. Each load is turned into signed deltas
-against the load before it (a value that is gone has a negative count) and the deltas are added
-to the counts kept so far, so that what is kept are the counts of the newest load. Every metric
-(nulls, distinct values, ranges, type violations, medians, shares, entropy) comes from the kept
-counts and not from the cells.
+against the counts kept so far (a value that is gone has a negative one) and the deltas are added
+to them, so that what is kept are the counts of each column's newest load. Every metric (nulls,
+distinct values, ranges, type violations, medians, shares, entropy) comes from the kept counts and
+their deltas and not from the cells.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from quarrymark.sources import shared
 from quarrymark.sources.shared import new_folder, staged
 
+#: Parts of a store by column; only those whose columns change are written anew.
+BUCKETS = 16
 INTEGER_BITS = {"integer": 32, "bigint": 64}
 #: Data types whose valid values have an order used for ranges and medians.
 MEASURED = ("integer", "bigint", "numeric", "date", "timestamp with time zone")
@@ -26,50 +29,121 @@ STAMP = rf"^({DAY})[ T]({CLOCK})(\.[0-9]+)?(Z|[+-][0-9]{{2}}(:[0-9]{{2}})?)?$"
 
 
 class ValueCounts:
-    """Counts of (column_id, cell_value) as of the newest load, kept as Parquet in a folder of its own.
+    """Counts of (column_id, cell_value) as of each column's newest load, kept as Parquet in a folder of its own.
 
-    apply() never changes what an earlier state holds: each state is a new folder, so that a job
-    which fails midway leaves the last one usable.
+    A version is a folder with the buckets that it changed, whole; a small manifest, written last,
+    says which version holds each bucket, which loads and stream batches are in it, and of which
+    load each column is. So a job which fails midway leaves the last version usable, a store can
+    be opened again at its path, and what was applied once isn't applied again.
+
+    Rows: column_id, cell_value, n, n_before (the count that the version's change began from),
+    load_no (of the column). A row with n 0 tells of a value that is gone.
     """
 
     SCHEMA = "column_id long, cell_value string, n long"
+    ROWS = "column_id long, cell_value string, n long, n_before long, load_no long"
+    EMPTY = {"version": 0, "buckets": {}, "columns": {}, "loads": {}, "batches": {}}
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or new_folder(spark, "value-counts"), 0
+        self.spark, self.path = spark, path or new_folder(spark, "value-counts")
+
+    def manifest(self) -> dict:
+        found = [int(n) for n in shared.listed(self.spark, f"{self.path}/manifest") if n.isdigit()]
+        return json.loads(shared.read_text(self.spark, f"{self.path}/manifest/{max(found)}")) if found else json.loads(json.dumps(self.EMPTY))
+
+    @property
+    def version(self) -> int:
+        return self.manifest()["version"]
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], self.ROWS)
+        return self.spark.read.schema(self.ROWS).option("basePath", self.path).parquet(*paths).drop("v", "bucket")
+
+    def _held(self, manifest: dict, buckets: list[str]) -> DataFrame:
+        return self._rows([f"{self.path}/v={manifest['buckets'][b]}/bucket={b}" for b in buckets if b in manifest["buckets"]]).where("n <> 0")
 
     def state(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v={self.version}")
-
-    def apply(self, deltas: DataFrame) -> DataFrame:
-        """Adds signed deltas (column_id, cell_value, n) and returns the new state; a value at zero is gone."""
-        summed = self.state().unionByName(deltas.select("column_id", "cell_value", "n")).groupBy("column_id", "cell_value").agg(F.sum("n").alias("n")).where("n <> 0")
-        summed.write.option("compression", "zstd").parquet(f"{self.path}/v={self.version + 1}")
-        self.version += 1
+        """column_id, cell_value, n as of the newest version."""
+        m = self.manifest()
+        return self._held(m, [*m["buckets"]]).select("column_id", "cell_value", "n")
+
+    def _write(self, rows: DataFrame, manifest: dict, touched: list[str]) -> None:
+        """rows (as ROWS, of the touched buckets) become a version; the manifest goes last."""
+        now = manifest["version"] + 1
+        path = f"{self.path}/v={now}"
+        rows.withColumn("bucket", _bucket()).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+        there = {f.removeprefix("bucket=") for f in shared.listed(self.spark, path) if f.startswith("bucket=")}
+        manifest["buckets"] = {b: v for b, v in manifest["buckets"].items() if b not in touched} | {b: now for b in touched if b in there}
+        manifest["version"] = now
+        shared.write_text(self.spark, f"{self.path}/manifest/{now}", json.dumps(manifest))
+
+    def apply(self, deltas: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Adds signed deltas (column_id, cell_value, n) and returns the new state; a value at zero is gone.
+
+        batch: name and number of a stream's batch; a number not above the last one of that name was applied before and is skipped.
+        """
+        m = self.manifest()
+        if batch and m["batches"].get(batch[0], -1) >= batch[1]:
+            return self.state()
+        deltas = staged(deltas.groupBy("column_id", "cell_value").agg(F.sum("n").alias("n")).where("n <> 0"), "deltas")
+        touched = [r[0] for r in deltas.select(_bucket()).distinct().collect()]  # at most BUCKETS
+        old = self._held(m, touched).select("column_id", "cell_value", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_before"), "load_no")
+        new = deltas.select("column_id", "cell_value", "n", F.lit(0).cast("long").alias("n_before"), F.lit(None).cast("long").alias("load_no"))
+        both = old.unionByName(new).groupBy("column_id", "cell_value").agg((F.sum("n") + F.sum("n_before")).alias("n"), F.sum("n_before").alias("n_before"), F.max("load_no").alias("load_no"))
+        if batch:
+            m["batches"][batch[0]] = batch[1]
+        self._write(both.where("n <> 0 or n_before <> 0"), m, touched)
         return self.state()
 
+    def add_load(self, counts: DataFrame, load_no: int) -> bool:
+        """The counts (column_id, cell_value, n) of one load, as signed deltas against the kept counts of its columns; other columns stay as they are. False if the load is in the store already."""
+        m = self.manifest()
+        if str(load_no) in m["loads"]:
+            return False
+        columns = [r[0] for r in counts.select("column_id").distinct().collect()]  # a list of columns
+        touched = [r[0] for r in counts.select(_bucket()).distinct().collect()]  # at most BUCKETS
+        held = self._held(m, touched)
+        mine = F.col("column_id").isin(columns)
+        zero = F.lit(0).cast("long")
+        old = held.where(mine).select("column_id", "cell_value", zero.alias("n"), F.col("n").alias("n_before"))
+        now = counts.select("column_id", "cell_value", "n", zero.alias("n_before")).unionByName(old).groupBy("column_id", "cell_value").agg(F.sum("n").alias("n"), F.sum("n_before").alias("n_before"))
+        rest = held.where(~mine).select("column_id", "cell_value", "n", F.col("n").alias("n_before"), "load_no")
+        m["loads"][str(load_no)] = {"version": m["version"] + 1, "before": {str(c): m["columns"].get(str(c)) for c in columns}}
+        m["columns"] |= {str(c): load_no for c in columns}
+        self._write(now.withColumn("load_no", F.lit(load_no).cast("long")).unionByName(rest), m, touched)
+        return True
 
-def load_counts(cells: DataFrame) -> DataFrame:
-    """column_id, load_no, cell_value, n: exact repeats of a row count once; rows without column or load are ignored."""
-    once = cells.where("column_id is not null and load_no is not null").select("column_id", "load_no", "row_no", "cell_value", "extracted_at").distinct()
-    return once.groupBy("column_id", "load_no", "cell_value").agg(F.count("*").alias("n"))
+    def changes(self, loads: list[int]) -> DataFrame:
+        """column_id, load_no, prev_load, cell_value, n, n_before of each of these loads: what its version wrote. Versions that ``vacuum`` removed have none."""
+        m = self.manifest()
+        there = {f for f in shared.listed(self.spark, self.path) if f.startswith("v=")}
+        kept = [load for load in loads if str(load) in m["loads"] and f"v={m['loads'][str(load)]['version']}" in there]
+        order = [(int(c), load, before) for load in kept for c, before in m["loads"][str(load)]["before"].items()]  # a row per column and load
+        order = self.spark.createDataFrame(order, "column_id long, load_no long, prev_load long")
+        return self._rows([f"{self.path}/v={m['loads'][str(load)]['version']}" for load in kept]).join(F.broadcast(order), ["column_id", "load_no"])
 
+    def vacuum(self) -> list[str]:
+        """Deletes the versions that hold no bucket of the newest state, and the manifests before the newest; returns the deleted versions."""
+        m = self.manifest()
+        used = {f"v={v}" for v in m["buckets"].values()}
+        gone = [f for f in shared.listed(self.spark, self.path) if f.startswith("v=") and f not in used]
+        for f in gone:
+            shared.removed(self.spark, f"{self.path}/{f}")
+        for f in shared.listed(self.spark, f"{self.path}/manifest"):
+            if f.isdigit() and int(f) < m["version"]:
+                shared.removed(self.spark, f"{self.path}/manifest/{f}")
+        return sorted(gone)
 
-def signed_deltas(counts: DataFrame) -> DataFrame:
-    """column_id, load_no, prev_load, cell_value, n, n_before, delta: each load of a column against the latest earlier load that has it.
 
-    A column's first load has n_before 0 and prev_load null.
-    """
-    w = Window.partitionBy("column_id").orderBy("load_no")
-    # one row per column and load, a list of metadata
-    loads = counts.select("column_id", "load_no").distinct()
-    order = loads.withColumn("prev_load", F.lag("load_no").over(w)).withColumn("next_load", F.lead("load_no").over(w))
-    here = counts.select("column_id", "load_no", "cell_value", "n", F.lit(0).cast("long").alias("n_before"))
-    before = counts.join(order.where("next_load is not null").select("column_id", "load_no", "next_load"), ["column_id", "load_no"])
-    before = before.select("column_id", F.col("next_load").alias("load_no"), "cell_value", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_before"))
-    both = here.unionByName(before).groupBy("column_id", "load_no", "cell_value").agg(F.sum("n").alias("n"), F.sum("n_before").alias("n_before"))
-    return both.join(order.select("column_id", "load_no", "prev_load"), ["column_id", "load_no"]).withColumn("delta", F.col("n") - F.col("n_before"))
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("column_id"), F.lit(BUCKETS)).cast("string").alias("bucket")
+
+
+def load_counts(cells: DataFrame) -> DataFrame:
+    """column_id, load_no, cell_value, n: exact repeats of a row count once; rows without column or load are ignored."""
+    once = cells.where("column_id is not null and load_no is not null").select("column_id", "load_no", "row_no", "cell_value", "extracted_at").distinct()
+    return once.groupBy("column_id", F.col("load_no").cast("long").alias("load_no"), "cell_value").agg(F.count("*").alias("n"))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -136,11 +210,23 @@ def is_valid(c: Column, data_type: Column, max_length: Column, is_json: Column)
     return out
 
 
+def _below(a: Column, b: Column) -> Column:
+    """Whether the number written as a is less than that written as b, to the last digit of both, whatever their length."""
+    def parts(c: Column) -> tuple[Column, Column]:
+        whole = F.regexp_replace(F.regexp_extract(c, r"^[+-]?([0-9]+)", 1), "^0+", "")
+        size = F.concat(F.lpad(F.length(whole).cast("string"), 9, "0"), whole, F.lit("."), F.regexp_replace(F.regexp_extract(c, r"\.([0-9]+)$", 1), "0+$", ""))
+        return F.when(size == "000000000.", 0).when(c.startswith("-"), -1).otherwise(1), size
+
+    (sa, ma), (sb, mb) = parts(a), parts(b)
+    return F.when(sa != sb, sa < sb).when(sa > 0, ma < mb).when(sa < 0, ma > mb).otherwise(False)
+
+
 def judged(counts: DataFrame, columns: DataFrame) -> DataFrame:
     """counts with each value's column facts, validity, measure and whether it lies outside the recorded range.
 
     Columns that the inventory doesn't have are ignored. A numeric beyond 32 digits before the
-    point is valid but has no measure, so it takes no part in ranges and medians.
+    point is valid but has no measure: it takes part in ranges, which compare numerics digit by
+    digit where six decimals don't tell them apart, and not in medians.
     """
     facts = columns.select("column_id", "data_type", "is_nullable", "max_length", "min_val", "max_val")
     facts = facts.withColumns({"lo": measure(_trimmed(F.col("min_val")), F.col("data_type")), "hi": measure(_trimmed(F.col("max_val")), F.col("data_type"))})
@@ -151,8 +237,11 @@ def judged(counts: DataFrame, columns: DataFrame) -> DataFrame:
     out = out.withColumn("valid", F.when(F.col("cell_value").isNotNull(), is_valid(t, kind, F.col("max_length"), F.col("json_ok"))))
     out = out.withColumn("m", F.when(F.col("valid"), measure(t, kind)))
     text = kind.isin("character varying", "text", "uuid") & F.col("valid")
-    low = F.when(F.col("m").isNotNull(), F.col("m") < F.col("lo")).when(text, t < F.col("min_val"))
-    high = F.when(F.col("m").isNotNull(), F.col("m") > F.col("hi")).when(text, t > F.col("max_val"))
+    low_text, high_text = _trimmed(F.col("min_val")), _trimmed(F.col("max_val"))
+    near = lambda bound: (kind == "numeric") & F.col("valid") & (F.col("m").isNull() | (F.abs(F.col("m") - F.col(bound)) <= F.lit(1e-6).cast("decimal(38,6)")))
+    number = r"^[+-]?[0-9]+(\.[0-9]+)?$"
+    low = F.when(near("lo") & low_text.rlike(number), _below(t, low_text)).when(F.col("m").isNotNull(), F.col("m") < F.col("lo")).when(text, t < F.col("min_val"))
+    high = F.when(near("hi") & high_text.rlike(number), _below(high_text, t)).when(F.col("m").isNotNull(), F.col("m") > F.col("hi")).when(text, t > F.col("max_val"))
     return out.withColumn("outside", F.coalesce(low, F.lit(False)) | F.coalesce(high, F.lit(False)))
 
 
@@ -181,23 +270,21 @@ def weighted_quantiles(values: DataFrame, keys: list[str], value: str, weight: s
     return ends.select(*keys, "share", (a + (b - a) * (F.col("pos") - F.floor("pos"))).alias("quantile"))
 
 
-def profiled_loads(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """The judged value counts of every load, each read from the maintained state after its deltas were applied.
+def profiled_loads(cells: DataFrame, columns: DataFrame, store: ValueCounts | None = None) -> DataFrame:
+    """The judged value counts of every load that the store doesn't hold yet, each as its signed deltas left the kept counts.
 
-    Columns: load_no, prev_load and those of ``judged``; n counts the load's cells of the value.
+    Loads are applied in the order of load_no, so that each meets the latest earlier load of each
+    of its columns. A load is applied once: cells of one that the store has are not looked at.
+    Columns: load_no, prev_load, n, n_before and those of ``judged``.
     """
     spark = cells.sparkSession
-    deltas = staged(signed_deltas(load_counts(cells)).where("delta <> 0 or n <> 0"), "deltas")
-    loads = [r[0] for r in deltas.select("load_no").distinct().orderBy("load_no").collect()]
-    store, out = ValueCounts(spark), None
+    store = store or ValueCounts(spark)
+    known = [int(x) for x in store.manifest()["loads"]]
+    counts = staged(load_counts(cells.where(~F.col("load_no").isin(known)) if known else cells), "loads", by="load_no")
+    loads = [r[0] for r in counts.select("load_no").distinct().orderBy("load_no").collect()]
     for load in loads:  # one step per load, not per row
-        now = deltas.where(F.col("load_no") == load)
-        state = store.apply(now.where("delta <> 0").select("column_id", "cell_value", F.col("delta").alias("n")))
-        held = state.join(now.select("column_id", "prev_load").distinct(), "column_id").withColumn("load_no", F.lit(load).cast("long"))
-        out = held if out is None else out.unionByName(held)
-    if out is None:
-        out = spark.createDataFrame([], "column_id long, cell_value string, n long, prev_load long, load_no long")
-    return staged(judged(out, columns), "judged")
+        store.add_load(counts.where(F.col("load_no") == load).drop("load_no"), load)
+    return staged(judged(store.changes(loads), columns), "judged")
 
 
 def profile(judged_loads: DataFrame) -> DataFrame:
@@ -206,6 +293,7 @@ def profile(judged_loads: DataFrame) -> DataFrame:
     min_value and max_value are valid texts that are least and greatest as data_type; for types
     without measure in text order.
     """
+    judged_loads = judged_loads.where("n > 0")
     n = F.col("n")
     totals = judged_loads.groupBy("column_id", "load_no").agg(
         F.sum("n").alias("cells"),
@@ -229,38 +317,24 @@ def findings(judged_loads: DataFrame) -> DataFrame:
     """column_id, load_no, finding (``null``, ``type``, ``range``, ``shift``), each once."""
     j = judged_loads
     key = ["column_id", "load_no"]
-    direct = j.select(
-        *key,
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("cell_value").isNull() & ~F.col("is_nullable"), "null"),
-                    F.when(~F.col("valid"), "type"),
-                    F.when(F.col("outside"), "range"),
-                )
-            )
-        ).alias("finding"),
-    )
-    n = F.col("n")
-    totals = j.groupBy(*key, "prev_load").agg(F.sum("n").alias("cells"), F.sum(F.when(F.col("cell_value").isNull(), n).otherwise(0)).alias("nulls"))
-    before = totals.select("column_id", F.col("load_no").alias("prev_load"), F.col("cells").alias("cells_b"), F.col("nulls").alias("nulls_b"))
-    pair = totals.join(before, ["column_id", "prev_load"])
+    is_null = F.col("cell_value").isNull()
+    direct = j.where("n > 0").select(*key, F.explode(F.array_compact(F.array(F.when(is_null & ~F.col("is_nullable"), "null"), F.when(~F.col("valid"), "type"), F.when(F.col("outside"), "range")))).alias("finding"))
+    changed = j.where("prev_load is not null")
+    total = lambda c, when=None: F.sum(F.col(c) if when is None else F.when(when, F.col(c)).otherwise(0))
+    pair = changed.groupBy(*key).agg(total("n").alias("cells"), total("n", is_null).alias("nulls"), total("n_before").alias("cells_b"), total("n_before", is_null).alias("nulls_b"))
+    pair = F.broadcast(staged(pair, "totals"))  # a row per column and load: an inventory
     apart = F.abs(F.col("nulls") * F.col("cells_b") - F.col("nulls_b") * F.col("cells")).cast("decimal(38,0)")
     nulls = pair.where(apart * 5 >= (F.col("cells") * F.col("cells_b")).cast("decimal(38,0)")).select(*key)
 
-    q = weighted_quantiles(j.where("m is not null").select(*key, "m", "n"), key, "m", "n", [0.1, 0.5, 0.9])
-    q = q.groupBy(*key).agg(*[F.max(F.when(F.col("share") == p, F.col("quantile"))).alias(c) for p, c in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
-    now = q.join(totals.select(*key, "prev_load"), key).select(*key, "prev_load", "p50")
-    medians = now.join(q.select("column_id", F.col("load_no").alias("prev_load"), "p10", "p90"), ["column_id", "prev_load"]).where("p50 < p10 or p50 > p90").select(*key)
+    measured = changed.where("m is not null")
+    sides = measured.where("n > 0").select(*key, "m", F.col("n").alias("w"), F.lit("now").alias("side")).unionByName(measured.where("n_before > 0").select(*key, "m", F.col("n_before").alias("w"), F.lit("before").alias("side")))
+    q = weighted_quantiles(sides, [*key, "side"], "m", "w", [0.1, 0.5, 0.9])
+    at = lambda side, p: F.max(F.when((F.col("side") == side) & (F.col("share") == p), F.col("quantile")))
+    medians = q.groupBy(*key).agg(at("now", 0.5).alias("p50"), at("before", 0.1).alias("p10"), at("before", 0.9).alias("p90")).where("p50 < p10 or p50 > p90").select(*key)
 
-    cat = j.where(F.col("data_type").isin(*CATEGORICAL) & F.col("cell_value").isNotNull())
-    here = cat.where("prev_load is not null").select(*key, "cell_value", "n", F.lit(0).cast("long").alias("n_b"))
-    later = totals.where("prev_load is not null").select("column_id", F.col("load_no").alias("next"), F.col("prev_load").alias("load_no"))
-    there = cat.join(later, key).select("column_id", F.col("next").alias("load_no"), "cell_value", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_b"))
-    shares = here.unionByName(there).groupBy(*key, "cell_value").agg(F.sum("n").alias("n"), F.sum("n_b").alias("n_b"))
     sized = pair.where("cells > nulls and cells_b > nulls_b").select(*key, (F.col("cells") - F.col("nulls")).alias("f"), (F.col("cells_b") - F.col("nulls_b")).alias("f_b"))
-    moved = F.abs(F.col("n") * F.col("f_b") - F.col("n_b") * F.col("f")).cast("decimal(38,0)") * 4 >= (F.col("f") * F.col("f_b")).cast("decimal(38,0)")
-    values = shares.join(sized, key).where(moved).select(*key)
+    moved = F.abs(F.col("n") * F.col("f_b") - F.col("n_before") * F.col("f")).cast("decimal(38,0)") * 4 >= (F.col("f") * F.col("f_b")).cast("decimal(38,0)")
+    values = changed.where(F.col("data_type").isin(*CATEGORICAL) & ~is_null).join(sized, key).where(moved).select(*key)
 
     shift = nulls.unionByName(medians).unionByName(values).withColumn("finding", F.lit("shift"))
     return direct.unionByName(shift).distinct()

@@ -64,7 +64,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     columns = table(spark, d, "col_inventory")
     tables = table(spark, d, "tbl_inventory").select("table_id", (F.coalesce("row_count_estimate", F.lit(0)) >= 10_000).alias("is_large"))
     facts = columns.select("column_id", "table_id").join(tables, "table_id", "left").select("column_id", F.coalesce("is_large", F.lit(False)).alias("is_large"))
-    return quality.profile(_judged(spark, d)).drop("min_value", "max_value").join(facts, "column_id")
+    return quality.profile(_judged(spark, d)).join(facts, "column_id")
 
 
 _CELLS_SQL = r"""
@@ -95,6 +95,8 @@ WITH cells AS (
     WHEN data_type = 'date' THEN epoch(CAST(t AS DATE))
     WHEN data_type = 'timestamp with time zone' THEN epoch_us(CAST(CASE WHEN regexp_matches(t, '(Z|[+-][0-9]{2}(:[0-9]{2})?)$') AND NOT regexp_full_match(t, '.{10}[ T].{8}(\.[0-9]+)?') THEN t ELSE t || '+00' END AS TIMESTAMPTZ)) / 1e6
     END AS m,
+    CASE WHEN NOT coalesce(valid, false) THEN NULL WHEN data_type IN ('integer', 'bigint', 'numeric') THEN TRY_CAST(t AS DECIMAL(38,6)) WHEN data_type = 'date' THEN epoch(CAST(t AS DATE))
+      WHEN data_type = 'timestamp with time zone' THEN epoch_us(CAST(CASE WHEN regexp_matches(t, '(Z|[+-][0-9]{2}(:[0-9]{2})?)$') AND NOT regexp_full_match(t, '.{10}[ T].{8}(\.[0-9]+)?') THEN t ELSE t || '+00' END AS TIMESTAMPTZ)) ELSE 0 END AS k,
     CASE WHEN data_type IN ('integer', 'bigint', 'numeric') THEN TRY_CAST(min_val AS DOUBLE) WHEN data_type = 'date' THEN epoch(TRY_CAST(min_val AS DATE)) WHEN data_type = 'timestamp with time zone' THEN epoch(TRY_CAST(min_val AS TIMESTAMPTZ)) END AS lo,
     CASE WHEN data_type IN ('integer', 'bigint', 'numeric') THEN TRY_CAST(max_val AS DOUBLE) WHEN data_type = 'date' THEN epoch(TRY_CAST(max_val AS DATE)) WHEN data_type = 'timestamp with time zone' THEN epoch(TRY_CAST(max_val AS TIMESTAMPTZ)) END AS hi
   FROM judged
@@ -102,7 +104,9 @@ WITH cells AS (
 """
 
 P2_PROFILE_SQL = _CELLS_SQL + """
-, counts AS (
+, extremes AS (
+  SELECT column_id, load_no, arg_min(t, (k, t)) AS min_value, arg_max(t, (k, t)) AS max_value FROM measured WHERE valid GROUP BY ALL
+), counts AS (
   SELECT column_id, load_no, cell_value, count(*) AS n, sum(CASE WHEN valid = false THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN m < lo OR m > hi THEN 1 ELSE 0 END) AS out FROM measured GROUP BY ALL
 ), totals AS (
   SELECT column_id, load_no, sum(n) AS cells, sum(CASE WHEN cell_value IS NULL THEN n ELSE 0 END) AS nulls, count(cell_value) AS distinct_values,
@@ -111,8 +115,8 @@ P2_PROFILE_SQL = _CELLS_SQL + """
 )
 SELECT column_id, load_no, CAST(cells AS BIGINT) AS cells, CAST(nulls AS BIGINT) AS nulls, round(nulls / cells, 6) AS null_share, distinct_values,
   round(CASE WHEN cells > nulls THEN greatest(0.0, log2(cells - nulls) - nlogn / (cells - nulls)) ELSE 0.0 END, 6) AS entropy,
-  CAST(invalid AS BIGINT) AS invalid, CAST(out_of_range AS BIGINT) AS out_of_range, coalesce(row_count_estimate, 0) >= 10000 AS is_large
-FROM totals JOIN col_inventory USING (column_id) LEFT JOIN tbl_inventory USING (table_id)
+  CAST(invalid AS BIGINT) AS invalid, CAST(out_of_range AS BIGINT) AS out_of_range, min_value, max_value, coalesce(row_count_estimate, 0) >= 10000 AS is_large
+FROM totals LEFT JOIN extremes USING (column_id, load_no) JOIN col_inventory USING (column_id) LEFT JOIN tbl_inventory USING (table_id)
 """
 
 P2_FOUND_SQL = _CELLS_SQL + """

@@ -17,10 +17,11 @@ def windowed_profile(stream: DataFrame, time: str, group: str, value: str, windo
 def keep_counts(stream: DataFrame, store: ValueCounts, checkpoint: str) -> StreamingQuery:
     """Adds a stream of signed cells (column_id, cell_value, n) to a store, a batch at a time, until the input is used up.
 
-    Each batch becomes a new state of the store; a batch that fails leaves the state before it.
+    Each batch becomes a new version of the store, which keeps the batch's number; a batch that
+    fails leaves the version before it, and one that is replayed after it was kept is skipped.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.apply(batch.groupBy("column_id", "cell_value").agg(F.sum("n").alias("n")))
+        store.apply(batch.select("column_id", "cell_value", "n"), batch=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

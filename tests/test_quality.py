@@ -71,3 +71,48 @@ def test_store_applies_signed_deltas(spark):
     store.apply(spark.createDataFrame([(1, "a", 2), (1, None, 1)], store.SCHEMA))
     state = store.apply(spark.createDataFrame([(1, "a", -2), (1, None, 3), (2, "b", 1)], store.SCHEMA))
     assert {tuple(r) for r in state.collect()} == {(1, None, 4), (2, "b", 1)}
+
+
+def test_store_opens_again_and_skips_what_it_has(spark):
+    store = quality.ValueCounts(spark)
+    assert store.add_load(spark.createDataFrame([(1, "a", 2), (1, None, 1), (2, "z", 5)], store.SCHEMA), 1)
+    again = quality.ValueCounts(spark, store.path)
+    assert {tuple(r) for r in again.state().collect()} == {(1, "a", 2), (1, None, 1), (2, "z", 5)}
+    assert not again.add_load(spark.createDataFrame([(1, "b", 9)], store.SCHEMA), 1)
+    assert again.add_load(spark.createDataFrame([(1, "a", 3)], store.SCHEMA), 4)
+    assert {tuple(r) for r in store.state().collect()} == {(1, "a", 3), (2, "z", 5)}
+    rows = {tuple(r) for r in again.changes([4]).select("column_id", "load_no", "prev_load", "cell_value", "n", "n_before").collect()}
+    assert rows == {(1, 4, 1, "a", 3, 2), (1, 4, 1, None, 0, 1)}
+    # a version that failed before its manifest was written is written over
+    spark.createDataFrame([(7, "junk", 1, 0, 9, "0")], store.ROWS + ", bucket string").write.partitionBy("bucket").parquet(f"{store.path}/v=3")
+    again.apply(spark.createDataFrame([(2, "z", -5), (3, "n", 1)], store.SCHEMA))
+    assert {tuple(r) for r in store.state().collect()} == {(1, "a", 3), (3, "n", 1)}
+    gone = store.vacuum()
+    assert "v=1" in gone and {tuple(r) for r in quality.ValueCounts(spark, store.path).state().collect()} == {(1, "a", 3), (3, "n", 1)} and store.vacuum() == []
+
+
+def test_a_replayed_batch_is_skipped(spark):
+    store = quality.ValueCounts(spark)
+    one = spark.createDataFrame([(1, "a", 2)], store.SCHEMA)
+    for number in (0, 0, 1, 1, 0):
+        store.apply(one, batch=("s", number))
+    store.apply(one, batch=("other", 0))
+    assert [tuple(r) for r in store.state().collect()] == [(1, "a", 6)]
+
+
+def test_loads_of_two_runs_give_the_findings_of_one(spark):
+    cells = [(c, l, i, v, AT) for c, l, vs in ((1, 1, "1 2 3 4"), (2, 1, "a a b"), (1, 2, "9 9 9 8"), (2, 3, "b b b"), (1, 4, "8 9 9 x")) for i, v in enumerate(vs.split())]
+    columns = spark.createDataFrame([(1, "integer", False, None, "1", "9"), (2, "character varying", False, 5, None, None)], COLUMNS)
+    df = spark.createDataFrame(cells, CELLS)
+    whole = {tuple(r) for r in quality.findings(quality.profiled_loads(df, columns)).collect()}
+    store = quality.ValueCounts(spark)
+    first = quality.findings(quality.profiled_loads(df.where("load_no < 3"), columns, store)).collect()
+    second = quality.findings(quality.profiled_loads(df, columns, quality.ValueCounts(spark, store.path))).collect()
+    assert {tuple(r) for r in first + second} == whole and {r["load_no"] for r in second} <= {3, 4} and (2, 3, "shift") in whole
+
+
+def test_ranges_to_the_last_digit(spark):
+    cells = [(1, 1, i, v, AT) for i, v in enumerate(["10.0000004", "10", "-0.00000001", "-0", "9" * 40, "0005", "+9.9999999"])]
+    columns = [(1, "numeric", True, None, "0", "10.0")]
+    j = quality.profiled_loads(spark.createDataFrame(cells, CELLS), spark.createDataFrame(columns, COLUMNS))
+    assert {r["cell_value"] for r in j.where("outside").collect()} == {"10.0000004", "-0.00000001", "9" * 40}
