@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrymark.operators.orphans import join_hot
 from quarrymark.sources.shared import staged
 
 
@@ -34,20 +35,25 @@ def resolve(edges: DataFrame, paths: bool = False) -> DataFrame:
     or leading into one, the smallest id on that cycle. depth and path (ids from the root to the
     node) are null there, and cyclic is true. An empty table gives no rows.
     """
+    edges = staged(edges, "edges")
+    # nodes without parent take no part in the join; a parent with very many children is joined apart
+    linked = edges.where("parent is not null")
     known = edges.select("h", F.col("id").alias("parent"), F.lit(True).alias("known"))
-    base = staged(edges.join(known, ["h", "parent"], "left").select("h", "id", "parent", F.coalesce("known", F.lit(False)).alias("has_parent")), "links")
+    named = linked.select("h", "parent").distinct().join(known, ["h", "parent"], "left").select("h", "parent", F.coalesce("known", F.lit(False)).alias("has_parent"))
+    tops = edges.where("parent is null").withColumn("has_parent", F.lit(False))
+    base = staged(join_hot(linked, named, ["h", "parent"], linked.count()).select("h", "id", "parent", "has_parent").unionByName(tops), "links")
     extra = ["path"] * paths
     first = base.withColumn("path", F.array("id")) if paths else base
     done = first.where("not has_parent").select("h", "id", F.col("id").alias("root"), F.lit(0).alias("depth"), *extra)
     # path of a node not reached: itself and its ancestors below the jump's target
     left = first.where("has_parent").select("h", "id", F.col("parent").alias("jump"), *extra)
-    height = 1
+    height, rows = 1, base.where("has_parent").count()
     while True:
-        step = staged(_advance(left, done, height, extra), "frontier")
-        found = step.agg(F.count("root").alias("new"), F.count("jump").alias("left")).first()
+        step = staged(_advance(left, done, height, extra, rows), "frontier")
+        found = step.agg(F.count("root").alias("new"), F.count_if(F.col("root").isNull()).alias("left")).first()
         done = done.unionByName(step.where("root is not null").select("h", "id", "root", "depth", *extra))
         left = step.where("root is null").select("h", "id", "jump", *extra)
-        height *= 2
+        height, rows = 2 * height, found["left"]
         if not found["new"] or not found["left"]:
             break
     done = done.withColumn("cyclic", F.lit(False))
@@ -57,12 +63,12 @@ def resolve(edges: DataFrame, paths: bool = False) -> DataFrame:
     return base.join(done, ["h", "id"])
 
 
-def _advance(left: DataFrame, done: DataFrame, height: int, extra: list[str]) -> DataFrame:
+def _advance(left: DataFrame, done: DataFrame, height: int, extra: list[str], rows: int) -> DataFrame:
     """One round: left's nodes with root and depth where their jump's target is reached, else with a jump twice as high."""
     targets = done.withColumn("jump", _nothing("long")).unionByName(left.withColumn("root", _nothing("long")).withColumn("depth", _nothing("int")))
     targets = targets.select("h", F.col("id").alias("jump"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"), F.col("jump").alias("t_jump"), *[F.col(c).alias("t_path") for c in extra])
     path = [F.concat("t_path", c).alias(c) for c in extra]
-    return left.join(targets, ["h", "jump"]).select("h", "id", F.col("t_root").alias("root"), (F.col("t_depth") + height).alias("depth"), F.col("t_jump").alias("jump"), *path)
+    return join_hot(left, targets, ["h", "jump"], rows).select("h", "id", F.col("t_root").alias("root"), (F.col("t_depth") + height).alias("depth"), F.col("t_jump").alias("jump"), *path)
 
 
 def _cycle_roots(left: DataFrame, base: DataFrame) -> DataFrame:
@@ -72,17 +78,17 @@ def _cycle_roots(left: DataFrame, base: DataFrame) -> DataFrame:
     exactly when it holds the nodes on cycles alone. The minimum along each cycle is then
     doubled from single links, until a round lowers none.
     """
-    size = None
+    size, rows = None, left.count()
     while (aims := left.select("h", "jump").distinct().count()) != size:
         size = aims
         t = left.select("h", F.col("id").alias("jump"), F.col("jump").alias("t_jump"))
-        left = staged(left.join(t, ["h", "jump"]).select("h", "id", F.col("t_jump").alias("jump")), "tails")
+        left = staged(join_hot(left, t, ["h", "jump"], rows).select("h", "id", F.col("t_jump").alias("jump")), "tails")
     on_cycle = left.select("h", F.col("jump").alias("id")).distinct()
     ring = staged(base.join(on_cycle, ["h", "id"], "left_semi").select("h", "id", F.col("parent").alias("jump"), F.col("id").alias("least"), F.lit(True).alias("lower")), "rings")
     while ring.where("lower").limit(1).count():
         t = ring.select("h", F.col("id").alias("jump"), F.col("jump").alias("t_jump"), F.col("least").alias("t_least"))
         ring = staged(ring.join(t, ["h", "jump"]).select("h", "id", F.col("t_jump").alias("jump"), F.least("least", "t_least").alias("least"), (F.col("t_least") < F.col("least")).alias("lower")), "rings")
-    return left.join(ring.select("h", F.col("id").alias("jump"), "least"), ["h", "jump"]).select("h", "id", F.col("least").alias("root"))
+    return join_hot(left, ring.select("h", F.col("id").alias("jump"), "least"), ["h", "jump"], rows).select("h", "id", F.col("least").alias("root"))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

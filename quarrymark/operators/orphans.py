@@ -1,9 +1,10 @@
 """References to records that do not exist, are deleted or arrive later.
 
-Method: the parent keys fill a Bloom filter of blocks, kept as a table (block, 64-bit mask) whose
-size is bounded whatever the number of keys, and broadcast. A reference it rejects is a definite
-orphan; only the others are verified, by an exact join. Beyond the bound the filter gets fuller
-and rejects less, and the exact join decides more: results never depend on it.
+Method: the parent keys fill a Bloom filter of blocks, kept as a table (block, 64-bit mask) sized
+by the number of keys. The different values of the references are probed: one that the filter
+rejects is a definite orphan, and only the others are verified, by an exact join with the parents.
+Up to MAX_BLOCKS the filter is broadcast; beyond, it lies partitioned by the hash of its blocks
+and is joined by shuffle, and rejects as many as before.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymark.sources.shared import staged
 
-#: Blocks of the Bloom filter: at most 2^20 rows of two longs are broadcast.
+#: The greatest filter that is broadcast: 2^20 rows of two longs, for 4 million keys.
 MAX_BLOCKS = 2**20
 KEYS_PER_BLOCK = 4
 #: A reference value with more rows than the 1/HOT_SHARE part is joined by broadcast; there are fewer than HOT_SHARE of them.
@@ -33,9 +34,9 @@ def bloom_block(key: Column, blocks: int) -> Column:
 
 
 def bloom_filter(parents: DataFrame, key: str, keys: int) -> tuple[DataFrame, int]:
-    """(block, mask) of the keys, and the number of blocks, which is at most MAX_BLOCKS."""
+    """(block, mask) of the keys, and the number of blocks, a power of two with KEYS_PER_BLOCK keys in each at most on average."""
     blocks = 64
-    while blocks < MAX_BLOCKS and blocks * KEYS_PER_BLOCK < keys:
+    while blocks * KEYS_PER_BLOCK < keys:
         blocks *= 2
     return parents.groupBy(bloom_block(F.col(key), blocks).alias("block")).agg(F.bit_or(bloom_mask(F.col(key))).alias("mask")), blocks
 
@@ -69,17 +70,20 @@ def child_references(children: DataFrame, key: str, ref: str, loaded: str) -> Da
     )
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
-    """Inner join on key, unique in right, where a few keys may hold most of left.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Inner join on keys, unique in right, where a few keys may hold most of left's rows.
 
     Keys with more than rows/HOT_SHARE of left's rows, fewer than HOT_SHARE, go by a broadcast of
     right's rows for them; the others by shuffle.
     """
-    hot = left.groupBy(key).count().where(F.col("count") > max(rows // HOT_SHARE, 10_000)).select(key, F.lit(True).alias("_hot"))
+    least = max(rows // HOT_SHARE, 10_000)
+    if rows <= least:  # no key can be hot
+        return left.join(right, keys)
+    hot = left.groupBy(*keys).count().where(F.col("count") > least).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(staged(hot, "hot"))
-    marked = left.join(hot, key, "left")
-    few = right.join(hot.drop("_hot"), key, "left_semi")
-    return marked.where("_hot").drop("_hot").join(F.broadcast(few), key).unionByName(marked.where("_hot is null").drop("_hot").join(right, key))
+    marked = left.join(hot, keys, "left")
+    few = right.join(hot.drop("_hot"), keys, "left_semi")
+    return marked.where("_hot").drop("_hot").join(F.broadcast(few), keys).unionByName(marked.where("_hot is null").drop("_hot").join(right, keys))
 
 
 def orphan_references(children: DataFrame, parents: DataFrame, *, child_key: str, ref: str, child_loaded: str, parent_key: str, deleted: str, parent_loaded: str) -> DataFrame:
@@ -92,19 +96,18 @@ def orphan_references(children: DataFrame, parents: DataFrame, *, child_key: str
     states = staged(parent_states(parents, parent_key, deleted, parent_loaded), "parents")
     refs = staged(child_references(children, child_key, ref, child_loaded), "references")
     mask, blocks = bloom_filter(states, "ref", states.count())
-    probed = refs.withColumn("block", bloom_block(F.col("ref"), blocks)).join(F.broadcast(mask), "block", "left")
+    used = refs.groupBy("ref").agg(F.min("child_loaded").alias("earliest")).withColumn("block", bloom_block(F.col("ref"), blocks))
+    probed = used.join(F.broadcast(mask) if blocks <= MAX_BLOCKS else mask, "block", "left")
     bits = bloom_mask(F.col("ref"))
     maybe = F.coalesce(F.col("mask").bitwiseAND(bits) == bits, F.lit(False))
-    probed = probed.select("row_id", "ref", "child_loaded", maybe.alias("maybe"))
-    definite = probed.where("not maybe").select("row_id", "child_loaded", F.lit("absent").alias("reason"))
-    # only values with a finding can leave the exact join: absent, deleted, or loaded after some child
-    positive = probed.where("maybe").drop("maybe")
-    used = positive.groupBy("ref").agg(F.min("child_loaded").alias("earliest"))
-    bad = used.join(states, "ref", "left").where("deleted is null or deleted or first_loaded > earliest").select("ref", "deleted", "first_loaded")
+    probed = staged(probed.select("ref", "earliest", maybe.alias("maybe")), "probed")
+    definite = probed.where("not maybe").select("ref", F.lit(None).cast("boolean").alias("deleted"), F.lit(None).cast("timestamp").alias("first_loaded"))
+    # only values with a finding leave the exact join: absent, deleted, or loaded after some child
+    verified = probed.where("maybe").join(states, "ref", "left").where("deleted is null or deleted or first_loaded > earliest").select("ref", "deleted", F.col("first_loaded").cast("timestamp").alias("first_loaded"))
     late = F.col("first_loaded") > F.col("child_loaded")
     reason = F.when(F.col("deleted").isNull(), "absent").when(F.col("deleted"), "deleted").when(late, "late")
-    verified = join_hot(positive, staged(bad, "bad"), "ref", refs.count()).select("row_id", "child_loaded", reason.alias("reason")).where("reason is not null")
-    return definite.unionByName(verified)
+    bad = staged(definite.unionByName(verified), "bad")
+    return join_hot(refs, bad, ["ref"], refs.count()).select("row_id", "child_loaded", reason.alias("reason")).where("reason is not null")
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:

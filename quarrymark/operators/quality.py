@@ -55,10 +55,11 @@ class ValueCounts:
     def version(self) -> int:
         return self.manifest()["version"]
 
-    def _rows(self, paths: list[str]) -> DataFrame:
+    def _rows(self, paths: list[str], *more: str) -> DataFrame:
+        """ROWS of the paths, and the version (v) or bucket if wanted."""
         if not paths:
-            return self.spark.createDataFrame([], self.ROWS)
-        return self.spark.read.schema(self.ROWS).option("basePath", self.path).parquet(*paths).drop("v", "bucket")
+            return self.spark.createDataFrame([], self.ROWS + "".join(f", {c} int" for c in more))
+        return self.spark.read.schema(self.ROWS + ", v int, bucket int").option("basePath", self.path).parquet(*paths).drop(*{"v", "bucket"} - {*more})
 
     def _held(self, manifest: dict, buckets: list[str]) -> DataFrame:
         return self._rows([f"{self.path}/v={manifest['buckets'][b]}/bucket={b}" for b in buckets if b in manifest["buckets"]]).where("n <> 0")
@@ -119,9 +120,10 @@ class ValueCounts:
         m = self.manifest()
         there = {f for f in shared.listed(self.spark, self.path) if f.startswith("v=")}
         kept = [load for load in loads if str(load) in m["loads"] and f"v={m['loads'][str(load)]['version']}" in there]
-        order = [(int(c), load, before) for load in kept for c, before in m["loads"][str(load)]["before"].items()]  # a row per column and load
-        order = self.spark.createDataFrame(order, "column_id long, load_no long, prev_load long")
-        return self._rows([f"{self.path}/v={m['loads'][str(load)]['version']}" for load in kept]).join(F.broadcast(order), ["column_id", "load_no"])
+        order = [(int(c), load, before, m["loads"][str(load)]["version"]) for load in kept for c, before in m["loads"][str(load)]["before"].items()]  # a row per column and load
+        order = self.spark.createDataFrame(order, "column_id long, load_no long, prev_load long, v int")
+        # rows of other columns in a rewritten bucket carry an earlier load's number in a later version
+        return self._rows([f"{self.path}/v={m['loads'][str(load)]['version']}" for load in kept], "v").join(F.broadcast(order), ["column_id", "load_no", "v"]).drop("v")
 
     def vacuum(self) -> list[str]:
         """Deletes the versions that hold no bucket of the newest state, and the manifests before the newest; returns the deleted versions."""

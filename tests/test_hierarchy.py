@@ -44,3 +44,13 @@ def test_only_cycles_and_empty(spark):
 def test_repeats_and_several_parents(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (2, 1), (2, 5), (3, None)], "id long, p long")
     assert {(r["id"], r["parent"]) for r in hierarchy.links(df, "t", "id", "p").collect()} == {(1, None), (2, 1), (3, None)}
+
+
+def test_a_parent_with_most_of_the_children(spark, monkeypatch):
+    from quarrymark.operators import orphans
+
+    monkeypatch.setattr(orphans, "HOT_SHARE", 3)
+    parent = {0: None} | {n: 0 for n in range(1, 25_000)} | {30_000: 7, 30_001: 30_000, 30_002: 30_003, 30_003: 30_002}
+    df = spark.createDataFrame(list(parent.items()), "id long, p long")
+    got = hierarchy.resolve(hierarchy.links(df, "t", "id", "p"))
+    assert {(r["root"], r["depth"]): r["count"] for r in got.groupBy("root", "depth").count().collect()} == {(0, 0): 1, (0, 1): 24_999, (0, 2): 1, (0, 3): 1, (30_002, None): 2}

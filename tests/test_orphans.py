@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from quarrymark.operators import orphans
 
 T = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
@@ -46,16 +48,24 @@ def test_equal_times_are_no_case(spark):
     assert run(spark, [(1, 9, T(5), "")], [(9, None, T(5), "")]) == set()
 
 
-def test_filter_that_is_full_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "MAX_BLOCKS", 64)
-    monkeypatch.setattr(orphans, "KEYS_PER_BLOCK", 0)
+def test_filter_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "MAX_BLOCKS", 0)
     parents = [(i, None, T(0), "") for i in range(0, 4000, 2)]
     children = [(i, i, T(9), "") for i in range(1000)]
     assert run(spark, children, parents) == {(i, "absent") for i in range(1, 1000, 2)}
 
 
+def test_filter_grows_with_the_keys_and_rejects_most(spark):
+    keys = spark.range(0, 60_000, 2).toDF("k")
+    mask, blocks = orphans.bloom_filter(keys, "k", 30_000)
+    assert blocks * orphans.KEYS_PER_BLOCK >= 30_000
+    odd = spark.range(1, 60_000, 2).toDF("k").withColumn("block", orphans.bloom_block(F.col("k"), blocks)).join(mask, "block", "left")
+    bits = orphans.bloom_mask(F.col("k"))
+    assert odd.where(F.coalesce(F.col("mask").bitwiseAND(bits) == bits, F.lit(False))).count() < 0.1 * 30_000
+
+
 def test_hot_reference(spark, monkeypatch):
     monkeypatch.setattr(orphans, "HOT_SHARE", 2)
     left = spark.createDataFrame([(1, i) for i in range(25_000)] + [(2, 7)], "k long, v long")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
-    assert orphans.join_hot(left, right, "k", 25_001).groupBy("w").count().orderBy("w").collect() == [("a", 25_000), ("b", 1)]
+    assert orphans.join_hot(left, right, ["k"], 25_001).groupBy("w").count().orderBy("w").collect() == [("a", 25_000), ("b", 1)]

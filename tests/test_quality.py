@@ -100,11 +100,15 @@ def test_a_replayed_batch_is_skipped(spark):
     assert [tuple(r) for r in store.state().collect()] == [(1, "a", 6)]
 
 
-def test_loads_of_two_runs_give_the_findings_of_one(spark):
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_loads_of_two_runs_give_the_findings_of_one(spark, monkeypatch, buckets):
+    monkeypatch.setattr(quality, "BUCKETS", buckets)
     cells = [(c, l, i, v, AT) for c, l, vs in ((1, 1, "1 2 3 4"), (2, 1, "a a b"), (1, 2, "9 9 9 8"), (2, 3, "b b b"), (1, 4, "8 9 9 x")) for i, v in enumerate(vs.split())]
     columns = spark.createDataFrame([(1, "integer", False, None, "1", "9"), (2, "character varying", False, 5, None, None)], COLUMNS)
     df = spark.createDataFrame(cells, CELLS)
     whole = {tuple(r) for r in quality.findings(quality.profiled_loads(df, columns)).collect()}
+    sizes = {(r["column_id"], r["load_no"]): r["cells"] for r in quality.profile(quality.profiled_loads(df, columns)).collect()}
+    assert sizes == {(1, 1): 4, (2, 1): 3, (1, 2): 4, (2, 3): 3, (1, 4): 4}
     store = quality.ValueCounts(spark)
     first = quality.findings(quality.profiled_loads(df.where("load_no < 3"), columns, store)).collect()
     second = quality.findings(quality.profiled_loads(df, columns, quality.ValueCounts(spark, store.path))).collect()
