@@ -15,3 +15,10 @@ def test_against_sets(spark):
 def test_empty_and_disjoint(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "A")], "c long, i string")
     assert overlap.overlaps(df, "c", "i").count() == 0 and overlap.overlaps(df.limit(0), "c", "i").count() == 0
+
+
+def test_an_identifier_of_very_many_sets(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SPLIT_FROM", 4)
+    rows = [(c, "all") for c in range(30)] + [(c, f"own{c % 7}") for c in range(30)] + [(1, None), (None, "x"), (2, "")]
+    got = {(r["a"], r["b"]): r["shared"] for r in overlap.overlaps(spark.createDataFrame(rows, "code long, ident string"), "code", "ident").collect()}
+    assert got == {(a, b): 1 + (a % 7 == b % 7) for a in range(30) for b in range(a + 1, 30)}
