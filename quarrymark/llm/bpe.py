@@ -286,7 +286,7 @@ def _merge_long(ids: list[int], table: MergeTable) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start, chars = 0, 0
     for i, t in enumerate(texts):
         chars += len(t) if t else 0
@@ -311,7 +311,7 @@ def encoded(df: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/byte_
         encoder = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in slices(texts):
                 n, ids = encoder.encode(texts[a:b])
                 if counts_only:
                     out = pa.array(n, pa.int64())

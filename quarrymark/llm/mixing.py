@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrymark.sources.shared import staged
 
-ROUNDS = 200
+#: Raking ends when no cell moves by more than this share of the total any more, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-9, 1000
+#: Bits after the point of the rests that are summed up, in whole numbers so that their order doesn't matter.
+POINT = 30
 
 
 def fit_cells(size: np.ndarray, source: np.ndarray, others: list[np.ndarray], share: np.ndarray, cap: np.ndarray, total: float | None = None) -> np.ndarray:
@@ -44,6 +47,7 @@ def fit_cells(size: np.ndarray, source: np.ndarray, others: list[np.ndarray], sh
 
     limit = size * cap[source]
     for _ in range(ROUNDS):
+        before = x.copy()
         for m, target in others:
             rake(m, target)
             np.minimum(x, limit, out=x)
@@ -56,6 +60,8 @@ def fit_cells(size: np.ndarray, source: np.ndarray, others: list[np.ndarray], sh
             loose = np.bincount(source, weights=np.where(free, x, 0), minlength=len(aim))
             factor = np.divide(aim - fixed, loose, out=np.ones_like(loose), where=loose > 0)
             x[free] *= np.maximum(factor, 1.0)[source][free]
+        if np.abs(x - before).max() <= TOLERANCE * aim.sum():
+            break
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
@@ -64,19 +70,21 @@ def drawn(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Within a source the documents are taken in order of their tokens, equal ones in an order
     given by the seed. The running sum is made of sums per range-sorted partition, so that a
-    source may hold any part of all rows.
+    source may hold any part of all rows; it is a sum of whole numbers, so that the draw does not
+    depend on how the rows are partitioned.
     """
-    keyed = docs.withColumns({"rest": F.col("uses") - F.floor("uses"), "mix": F.xxhash64("key", F.lit(seed))})
+    keyed = docs.withColumns({"rest": F.floor((F.col("uses") - F.floor("uses")) * 2**POINT), "mix": F.xxhash64("key", F.lit(seed))})
     parts = staged(keyed.repartitionByRange("source", "tokens", "mix").withColumn("pid", F.spark_partition_id()), "by-size")
     held = parts.groupBy("source", "pid").agg(F.sum("rest").alias("held"))  # at most sources + partitions rows
     before = held.withColumn("before", F.sum("held").over(Window.partitionBy("source").orderBy("pid")) - F.col("held")).drop("held")
     inside = Window.partitionBy("source", "pid").orderBy("tokens", "mix", "key").rowsBetween(Window.unboundedPreceding, 0)
-    run = parts.join(F.broadcast(before), ["source", "pid"]).withColumn("upto", F.col("before") + F.sum("rest").over(inside) + 0.5)
-    return run.withColumn("copies", (F.floor("uses") + F.floor("upto") - F.floor(F.col("upto") - F.col("rest"))).cast("long")).drop("rest", "mix", "pid", "before", "upto")
+    run = parts.join(F.broadcast(before), ["source", "pid"]).withColumn("upto", F.col("before") + F.sum("rest").over(inside) + 2 ** (POINT - 1))
+    whole = lambda c: F.shiftright(c, POINT)
+    return run.withColumn("copies", (F.floor("uses") + whole(F.col("upto")) - whole(F.col("upto") - F.col("rest"))).cast("long")).drop("rest", "mix", "pid", "before", "upto")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """key, source, tokens, copies of the documents of a mixture; those not used have 0 copies.
+    """key, source, lang, topic, tokens, copies of the documents of a mixture; those not used have 0 copies.
 
     docs: key, source, lang, topic, tokens; a null source, or one without target, belongs to no
     target and has no row. Null language and topic are a class of their own. Documents of 0
@@ -99,12 +107,36 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None) ->
         rows = [(r["source"], r["lang"], r["topic"], float(u)) for r, u in zip(cells, uses)]
     fitted = spark.createDataFrame(rows, "source string, lang string, topic string, uses double")
     joined = sized.join(F.broadcast(fitted), ["source", "lang", "topic"], "left").withColumn("uses", F.when(F.col("tokens") > 0, F.coalesce("uses", F.lit(0.0))).otherwise(0.0))
-    return drawn(joined.select("key", "source", "tokens", "uses")).select("key", "source", "tokens", "copies")
+    return drawn(joined.select("key", "source", "lang", "topic", "tokens", "uses")).select("key", "source", "lang", "topic", "tokens", "copies")
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, documents, tokens, used_tokens, most_copies, actual_share, reached for every target."""
+    """source, target_share, max_repeats, documents, tokens, used_tokens, most_copies, actual_share, fitted_share, reached for every target.
+
+    fitted_share: the target, with the shares of sources without any tokens spread over the
+    others in proportion. reached: whether the actual share lies within 0.01 of that.
+    """
     sums = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     out = targets.select("source", "target_share", "max_repeats").join(sums, "source", "left").fillna(0, ["documents", "tokens", "used_tokens", "most_copies"])
-    whole = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))  # one row per source
-    return out.withColumn("actual_share", F.when(whole > 0, F.col("used_tokens") / whole).otherwise(0.0)).withColumn("reached", F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01)
+    all_sources = Window.partitionBy(F.lit(1))  # one row per source
+    whole, held = F.sum("used_tokens").over(all_sources), F.sum(F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)).over(all_sources)
+    out = out.withColumn("actual_share", F.when(whole > 0, F.col("used_tokens") / whole).otherwise(0.0)).withColumn("fitted_share", F.when((held > 0) & (F.col("tokens") > 0), F.col("target_share") / held).otherwise(0.0))
+    return out.withColumn("reached", F.abs(F.col("actual_share") - F.col("fitted_share")) <= 0.01)
+
+
+def marginals(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """marginal (``source``, ``language``, ``topic``), value, target_share, actual_share, error: what the mixture was fitted to and what it really holds, in tokens.
+
+    Of languages and topics the target is the share that they have in the documents of all target
+    sources. The cap on repeats and the sources' shares come first, so that these may miss theirs.
+    """
+    mixed = mixed.where("tokens > 0")
+    sums = mixed.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used"))  # cells: metadata
+    sums = staged(sums, "cells")
+    total = sums.agg(F.sum("tokens").alias("all_tokens"), F.sum("used").alias("all_used"))
+    by = lambda c, name: sums.groupBy(F.col(c).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("used").alias("used")).select(F.lit(name).alias("marginal"), "value", "tokens", "used")
+    shares = by("lang", "language").unionByName(by("topic", "topic")).crossJoin(F.broadcast(total))  # one row
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    rest = shares.select("marginal", "value", share("tokens", "all_tokens").alias("target_share"), share("used", "all_used").alias("actual_share"))
+    sources = reached(mixed, targets).select(F.lit("source").alias("marginal"), F.col("source").alias("value"), F.col("fitted_share").alias("target_share"), "actual_share")
+    return sources.unionByName(rest).withColumn("error", F.col("actual_share") - F.col("target_share"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.llm import bpe, mixing, overlap, pii, subjects
+from quarrymark.llm import bpe, mixing, overlap, pii, subjects, topics
 from quarrymark.llm.oracle import ORACLE
 from quarrymark.sources.shared import staged
 from quarrymark.sources.tables import table
@@ -59,27 +59,36 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
 LANGUAGE_CODES = {"eng": "en", "deu": "de", "ger": "de", "spa": "es"}
 
 
+TOKENIZER = f"{bpe.TOKENIZERS}/byte_bpe_50k.json"
+
+
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes in tokens of byte_bpe_50k; languages by their normalised code; topics as labelled by hand, all others one class."""
+    """Sizes in tokens of byte_bpe_50k; languages by their normalised code; topics as a classifier of the hand labels' subjects says."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    sizes = staged(bpe.encoded(docs.withColumn("key", F.struct("doc_id", "source", "lang")).select("key", "text"), "key", "text", counts_only=True), "tokens")
-    code = F.lower("key.lang")
+    code = F.lower("lang")
     for spelling, to in LANGUAGE_CODES.items():
-        code = F.when(F.lower("key.lang") == spelling, to).otherwise(code)
-    code = F.when(code.isin("en", "de", "es"), code)
-    topics = table(spark, d, "subject_labels").groupBy("doc_id").agg(F.min("subject").alias("topic"))
-    sized = sizes.select(F.col("key.doc_id").alias("doc_id"), F.col("key.source").alias("source"), code.alias("lang"), "tokens").join(topics, "doc_id", "left")
-    return mixing.mixture(sized.withColumnRenamed("doc_id", "key"), table(spark, d, "mix_targets"))
+        code = F.when(F.lower("lang") == spelling, to).otherwise(code)
+    docs = docs.withColumn("lang", F.when(code.isin("en", "de", "es"), code))
+    labels = table(spark, d, "subject_labels").select("doc_id", "subject").join(F.broadcast(table(spark, d, "subject_areas").select("subject").distinct()), "subject").distinct()  # a list of subjects
+    names, weights = topics.token_weights(docs.select("doc_id", "lang", "text").join(labels, "doc_id").withColumnRenamed("doc_id", "key"), TOKENIZER)
+    keyed = docs.select(F.struct("doc_id", "source", "lang").alias("key"), "text")
+    sized = staged(topics.sized(keyed, "key", "text", names, weights, TOKENIZER), "tokens")
+    sized = sized.select(F.col("key.doc_id").alias("key"), F.col("key.source").alias("source"), F.col("key.lang").alias("lang"), "topic", "tokens")
+    return mixing.mixture(sized, table(spark, d, "mix_targets"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d).where("copies > 0").withColumnRenamed("key", "doc_id")
+    return _mixture(spark, d).where("copies > 0").select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.marginals(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return subjects.assigned(docs, "doc_id", "text", table(spark, d, "subject_labels").select("doc_id", "subject"), table(spark, d, "subject_areas"))
@@ -95,4 +104,4 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return areas.join(_subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents")), "subject", "left").fillna(0)
 
 
-QUERIES = {"p6_found": p6_found, "p6_masked": p6_masked, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
+QUERIES = {"p6_found": p6_found, "p6_masked": p6_masked, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_marginals": p8_marginals, "p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p7_tokens": p7_tokens, "p3_found": p3_found, "p3_overlaps": p3_overlaps}
