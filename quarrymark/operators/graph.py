@@ -10,6 +10,8 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrymark.functions.names import singular
+
 #: Weights, name patterns and limits of the archetype rules.
 FACTORS = {"MANY_TO_MANY": 0.3}
 SAME_SCHEMA, SHARED_PII = 0.15, 0.10
@@ -20,13 +22,13 @@ SURROGATE_NAME = r"(?i)^(.*_id|id)$"
 INTEGER_TYPE = r"(?i)^(int|integer|bigint|smallint|serial|bigserial|tinyint)\b"
 #: Tables by which well-known schemas are recognised.
 KNOWN_SCHEMAS = {
-    "AdventureWorks": "business_entity person customer employee vendor address address_type country_region state_province business_entity_address business_entity_contact credit_card person_credit_card sales_order_header sales_order_detail sales_person sales_territory sales_reason currency currency_rate product product_category product_subcategory product_inventory product_model product_review product_vendor purchase_order_header purchase_order_detail department shift store",
-    "Northwind": "categories customers employees order_details orders products shippers suppliers territories region employee_territories",
-    "Saleor": "account_user checkout_checkout checkout_checkoutline order_order order_orderline product_product product_productvariant product_category warehouse_warehouse shipping_shippingmethod discount_voucher channel_channel",
-    "DVDRental": "actor address category city country customer film film_actor film_category inventory language payment rental staff store",
-    "WordPress": "wp_posts wp_postmeta wp_users wp_usermeta wp_options wp_terms wp_term_relationships wp_term_taxonomy wp_comments wp_commentmeta",
-    "Drupal": "node node_field_data users users_field_data taxonomy_term_data file_managed block_content menu_link_content",
-    "Magento": "catalog_product_entity catalog_category_entity sales_order sales_order_item customer_entity quote quote_item store store_website",
+    "AdventureWorks": ("business_entity", "person", "customer", "employee", "vendor", "address", "address_type", "country_region", "state_province", "business_entity_address", "business_entity_contact", "credit_card", "person_credit_card", "sales_order_header", "sales_order_detail", "sales_person", "sales_territory", "sales_reason", "currency", "currency_rate", "product", "product_category", "product_subcategory", "product_inventory", "product_model", "product_review", "product_vendor", "purchase_order_header", "purchase_order_detail", "department", "shift", "store"),
+    "Northwind": ("categories", "customers", "employees", "order_details", "orders", "products", "shippers", "suppliers", "territories", "region", "employee_territories"),
+    "Saleor": ("account_user", "checkout_checkout", "checkout_checkoutline", "order_order", "order_orderline", "product_product", "product_productvariant", "product_category", "warehouse_warehouse", "shipping_shippingmethod", "discount_voucher", "channel_channel"),
+    "DVDRental": ("actor", "address", "category", "city", "country", "customer", "film", "film_actor", "film_category", "inventory", "language", "payment", "rental", "staff", "store"),
+    "WordPress": ("wp_posts", "wp_postmeta", "wp_users", "wp_usermeta", "wp_options", "wp_terms", "wp_term_relationships", "wp_term_taxonomy", "wp_comments", "wp_commentmeta"),
+    "Drupal": ("node", "node_field_data", "users", "users_field_data", "taxonomy_term_data", "file_managed", "block_content", "menu_link_content"),
+    "Magento": ("catalog_product_entity", "catalog_category_entity", "sales_order", "sales_order_item", "customer_entity", "quote", "quote_item", "store", "store_website"),
 }
 
 
@@ -172,7 +174,7 @@ def clusters(tables: DataFrame, edges: DataFrame, kinds: DataFrame, schema: str)
         anchors = [t for t in members if kind[t] in ("FACT", "DIMENSION")]
         prefix = [t.split("_")[0] for t in members]
         common = max(sorted(set(prefix)), key=prefix.count)
-        name = f"{_singular(min(anchors, key=lambda t: (-degree[t], t)))}_cluster" if anchors else f"{common}_cluster" if prefix.count(common) >= 0.6 * len(prefix) else f"{schema}_cluster_{c}"
+        name = f"{singular(min(anchors, key=lambda t: (-degree[t], t)))}_cluster" if anchors else f"{common}_cluster" if prefix.count(common) >= 0.6 * len(prefix) else f"{schema}_cluster_{c}"
         inside = sum(w for a, b, w in plain if of.get(a) == c and of.get(b) == c)
         part = inside / m - (sum(degree[t] for t in members) / (2 * m)) ** 2 if m else 0.0
         out += [(t, c, name, kind[t], round(part, 6)) for t in members]
@@ -180,12 +182,6 @@ def clusters(tables: DataFrame, edges: DataFrame, kinds: DataFrame, schema: str)
     return spark.createDataFrame(out, "table_name string, cluster_id long, cluster_name string, archetype string, modularity double")
 
 
-def _singular(name: str) -> str:
-    from quarrymark.functions.names import singular
-
-    return singular(name)
-
-
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """cluster_id, inside, degree, modularity: of weighted edges (parent, child, weight) under a division (table_name, cluster_id)."""
     side = lambda s: members.select(F.col("table_name").alias(s), F.col("cluster_id").alias(f"c_{s}"))
@@ -202,7 +198,7 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
 def known_schema(tables: DataFrame, least: float = 0.30) -> DataFrame:
     """name, jaccard, matched: the well-known schemas whose tables overlap by at least that Jaccard, best first."""
     spark = tables.sparkSession
-    known = spark.createDataFrame([(s, t) for s, ts in KNOWN_SCHEMAS.items() for t in ts.split()], "name string, table_name string")
+    known = spark.createDataFrame([(s, t) for s, ts in KNOWN_SCHEMAS.items() for t in ts], "name string, table_name string")
     mine = tables.select(F.lower("table_name").alias("table_name")).distinct()
     size, sizes = mine.agg(F.count("*").alias("n")), known.groupBy("name").agg(F.count("*").alias("k"))
     hit = known.join(mine, "table_name").groupBy("name").agg(F.count("*").alias("matched")).join(sizes, "name").crossJoin(F.broadcast(size))  # one row

@@ -8,12 +8,16 @@ outside of every comparison, and columns of different physical families are neve
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrymark.functions.types import family
+from quarrymark.sources.shared import staged
 
 THRESHOLD = 0.95
+#: The type in which the values of a family are compared; of the others, text.
+NATIVE = {"INTEGER": "long", "FLOAT": "double", "DATE": "date", "TIMESTAMP": "timestamp", "BOOLEAN": "boolean"}
 
 
 @dataclass(frozen=True)
@@ -29,9 +33,9 @@ class Side:
         return family(self.table.schema[self.column].dataType)
 
     def values(self) -> DataFrame:
-        """value (as text), nulls left out; repeated values still there."""
+        """value (in the family's own type), nulls left out; repeated values still there."""
         c = F.col(f"`{self.column}`")
-        return self.table.where(c.isNotNull()).select(c.cast("string").alias("value"))
+        return self.table.where(c.isNotNull()).select(c.cast(NATIVE.get(self.family, "string")).alias("value"))
 
 
 def cardinality(child: Column, parent: Column, orphans: Column, threshold: float = THRESHOLD) -> Column:
@@ -77,18 +81,30 @@ def memberships(sides: list[Side]) -> DataFrame:
     The inverted index of all columns by one shuffle on the value; equal memberships are then
     counted, so that later pairing handles combinations of columns and not values.
     """
-    rows = None
+    by_family: dict[str, DataFrame] = {}
     for s in sides:
-        part = s.values().select(F.lit(s.family).alias("family"), F.lit(s.name).alias("name"), "value")
-        rows = part if rows is None else rows.unionByName(part)
-    index = rows.distinct().groupBy("family", "value").agg(F.sort_array(F.collect_set("name")).alias("columns"))  # at most one entry per column
-    return index.groupBy("family", "columns").agg(F.count("*").alias("n"))
+        part = s.values().select(F.lit(s.name).alias("name"), "value")
+        by_family[s.family] = by_family[s.family].unionByName(part) if s.family in by_family else part
+    counted = []
+    for kind, rows in by_family.items():
+        index = rows.distinct().groupBy("value").agg(F.sort_array(F.collect_set("name")).alias("columns"))  # at most one entry per column
+        counted.append(index.groupBy("columns").agg(F.count("*").alias("n")).select(F.lit(kind).alias("family"), "columns", "n"))
+    return reduce(DataFrame.unionByName, counted)
 
 
 def all_pairs(sides: list[Side], threshold: float = THRESHOLD) -> DataFrame:
     """Every ordered pair of columns that share a value: child, parent, shared, child_distinct, parent_distinct, orphans, containment, cardinality."""
-    held = memberships(sides)
-    sizes = held.select(F.explode("columns").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("size"))
+    return pairs_of(staged(memberships(sides), "memberships"), threshold)
+
+
+def sizes_of(held: DataFrame) -> DataFrame:
+    """name, size: the distinct values of each column, from memberships; columns without any are missing."""
+    return held.select(F.explode("columns").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("size"))
+
+
+def pairs_of(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``all_pairs`` from memberships."""
+    sizes = sizes_of(held)
     pairs = held.select(F.explode("columns").alias("child"), "columns", "n").select("child", F.explode("columns").alias("parent"), "n").where("child <> parent").groupBy("child", "parent").agg(F.sum("n").alias("shared"))
     out = pairs.join(sizes.select(F.col("name").alias("child"), F.col("size").alias("child_distinct")), "child").join(sizes.select(F.col("name").alias("parent"), F.col("size").alias("parent_distinct")), "parent")
     return _judged(out.withColumn("orphans", F.col("child_distinct") - F.col("shared")), threshold)
@@ -135,27 +151,31 @@ def tuple_containment(child: DataFrame, child_cols: list[str], parent: DataFrame
     keys = [f"k{i}" for i in range(len(child_cols))]
 
     def side(df: DataFrame, cols: list[str], c: int) -> DataFrame:
-        return df.select(*[F.col(f"`{x}`").cast("string").alias(k) for x, k in zip(cols, keys)], F.lit(c).alias("c"), F.lit(1 - c).alias("p")).dropna(subset=keys)
+        return df.select(*[F.col(f"`{x}`").cast(NATIVE.get(f, "string")).alias(k) for x, k, (f, _) in zip(cols, keys, families)], F.lit(c).alias("c"), F.lit(1 - c).alias("p")).dropna(subset=keys)
 
     merged = side(child, child_cols, 1).unionByName(side(parent, parent_cols, 0)).groupBy(*keys).agg(F.max("c").alias("c"), F.max("p").alias("p"))
     return _judged(merged.agg(*_split(merged)), threshold)
 
 
-def partition_containment(child: DataFrame, kind_col: str, id_col: str, parents: dict[str, Side], threshold: float = THRESHOLD) -> DataFrame:
-    """kind, parent, child_distinct, parent_distinct, orphans, containment, cardinality: the ids of each discriminator value within the parent given for it.
+def partition_containment(child: DataFrame, kind_col: str, id_col: str, parents: dict[str, Side] | list[tuple[str, Side]], threshold: float = THRESHOLD) -> DataFrame:
+    """kind, parent, child_distinct, parent_distinct, orphans, containment, cardinality: the ids of each discriminator value within the parent given for it, or within each of several.
 
-    All partitions are decided in one pass. Values of kind without a parent here are left out.
+    All are decided in one pass: child and parents are read once each. Values of kind without a
+    parent here are left out, as are parents of another family than the ids.
     """
-    rows = None
-    for kind, parent in parents.items():
-        mine = child.where((F.col(kind_col) == kind) & F.col(id_col).isNotNull()).select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("value"), F.lit(1).alias("c"), F.lit(0).alias("p"))
-        theirs = parent.values().select(F.lit(kind).alias("kind"), "value", F.lit(0).alias("c"), F.lit(1).alias("p"))
-        both = mine.unionByName(theirs)
-        rows = both if rows is None else rows.unionByName(both)
-    merged = rows.groupBy("kind", "value").agg(F.max("c").alias("c"), F.max("p").alias("p"))
-    out = _judged(merged.groupBy("kind").agg(*_split(merged)), threshold)
-    names = F.create_map(*[F.lit(x) for kind, parent in parents.items() for x in (kind, parent.name)])
-    return out.withColumn("parent", names[F.col("kind")])
+    of = family(child.schema[id_col].dataType)
+    pairs = [(k, p) for k, p in (parents.items() if isinstance(parents, dict) else parents) if p.family == of]
+    schema = "kind string, child_distinct long, parent_distinct long, orphans long, containment double, cardinality string, parent string"
+    if not pairs:
+        return child.sparkSession.createDataFrame([], schema)
+    wanted = F.create_map(*[x for kind in dict.fromkeys(k for k, _ in pairs) for x in (F.lit(kind), F.array(*[F.lit(p.name) for k, p in pairs if k == kind]))])
+    ids = child.select(F.col(kind_col).cast("string").alias("kind"), F.col(f"`{id_col}`").cast(NATIVE.get(of, "string")).alias("value")).where("kind is not null and value is not null").distinct()
+    rows = ids.select("kind", "value", F.explode(F.try_element_at(wanted, F.col("kind"))).alias("parent")).withColumns({"c": F.lit(1), "p": F.lit(0)})
+    for p in {p.name: p for _, p in pairs}.values():
+        kinds = F.explode(F.array(*[F.lit(k) for k, q in pairs if q.name == p.name])).alias("kind")
+        rows = rows.unionByName(p.values().distinct().select(kinds, "value", F.lit(p.name).alias("parent"), F.lit(0).alias("c"), F.lit(1).alias("p")))
+    merged = rows.groupBy("kind", "parent", "value").agg(F.max("c").alias("c"), F.max("p").alias("p"))
+    return _judged(merged.groupBy("kind", "parent").agg(*_split(merged)), threshold).select(*[x.split()[0] for x in schema.split(", ")])
 
 
 def json_side(name: str, table: DataFrame, column: str, path: str) -> Side:
@@ -177,18 +197,16 @@ def json_leaves(table: DataFrame, column: str) -> DataFrame:
     level = table.select(F.expr(f"try_parse_json(`{column}`)").alias("v"), F.lit("$").alias("path")).where("v is not null")
     leaves = None
     while True:
-        kind = F.schema_of_variant("v")
-        flat = level.withColumn("kind", kind)
+        level = staged(level.withColumn("kind", F.schema_of_variant("v")), "json-level")
         nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        here = flat.where(~nested).select("path", "kind", F.expr("try_variant_get(v, '$', 'string')").alias("text"))
+        here = level.where(~nested).select("path", "kind", F.expr("try_variant_get(v, '$', 'string')").alias("text"))
         leaves = here if leaves is None else leaves.unionByName(here)
-        deeper = flat.where(nested)
+        deeper = level.where(nested)
         if not deeper.limit(1).count():
             break
-        deeper.createOrReplaceTempView("quarrymark_json_level")
-        level = table.sparkSession.sql(
-            "SELECT e.value AS v, CASE WHEN e.key IS NULL THEN concat(l.path, '[*]') ELSE concat(l.path, '.', e.key) END AS path FROM quarrymark_json_level l, LATERAL variant_explode(l.v) AS e"
-        )
+        entries = table.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e")
+        step = F.when(F.col("e.key").isNull(), F.concat("path", F.lit("[*]"))).otherwise(F.concat("path", F.lit("."), F.col("e.key")))
+        level = deeper.lateralJoin(entries).select(F.col("e.value").alias("v"), step.alias("path"))
     uuid = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
     plain = ~F.col("kind").isin("BOOLEAN", "VOID") & ~F.col("kind").startswith("DECIMAL") & ~F.col("kind").isin("DOUBLE", "FLOAT")
     kinds = F.when(~plain, "none").when((F.col("kind") == "BIGINT") | F.col("text").rlike("^[0-9]+$"), "int").when(F.col("text").rlike(uuid), "uuid").otherwise("string")

@@ -1,7 +1,7 @@
 """Sensitive-data findings of columns, how they spread along relationships, and where their values leak.
 
-Cells are scanned in Arrow batches and counted per batch, so that what leaves a task are counts
-by column and kind and never cells.
+Cells are scanned in Arrow batches where they lie and counted per task, so that what leaves it
+are counts and masked examples by column and kind and never cells.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from quarrymark.functions.types import CREDENTIAL_NAME, FREE_TEXT_NAME, POINTER_
 from quarrymark.sources.shared import staged
 
 #: Kinds that identify a person and are handed on to referring tables. IDENTITY_BUNDLE is accepted and never produced.
-DIRECT = tuple((
-    "EMAIL PHONE SSN_US SSN PASSPORT_GB PASSPORT_US PASSPORT IBAN CC_NUMBER PESEL_PL BSN_NL NIR_FR AADHAAR_IN MRN NPI_US MEDICARE_MBI PERSONNUMMER_SE TAX_ID_DE CODICE_FISCALE_IT IDENTITY_BUNDLE"
-).split())
+DIRECT = (
+    "EMAIL", "PHONE", "SSN_US", "SSN", "PASSPORT_GB", "PASSPORT_US", "PASSPORT", "IBAN", "CC_NUMBER", "PESEL_PL", "BSN_NL", "NIR_FR", "AADHAAR_IN", "MRN", "NPI_US", "MEDICARE_MBI", "PERSONNUMMER_SE", "TAX_ID_DE", "CODICE_FISCALE_IT", "IDENTITY_BUNDLE",
+)
 KEEP_RATE = 0.05
 
 
@@ -32,27 +32,48 @@ def text_cells(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return out
 
 
-def match_counts(cells: DataFrame, strict: bool = False) -> DataFrame:
-    """table_name, column_name, kind, matched, valid, brand_counts..., per column and kind: cells with such a match, and with one that its check accepts. kind null: cells scanned."""
+COUNTS = "table_name string, column_name string, kind string, ok boolean, n long, example string"
 
+
+def match_counts(tables: dict[str, tuple[DataFrame, list[str]]], strict: bool = False) -> DataFrame:
+    """table_name, column_name, kind, matched, valid, example: per column and kind, cells with such a match, with one that its check accepts, and the least of the masked matches. kind null: cells scanned.
+
+    tables: name -> (table, text columns). Each is read once, where it lies: no text is shuffled,
+    and values that a batch repeats are scanned once. Only a table of fewer files than there are
+    cores is spread first, as the work is in the scan.
+    """
+    cores = next(iter(tables.values()))[0].sparkSession.sparkContext.defaultParallelism
+    counted = None
+    for name, (df, cols) in tables.items():
+        texts = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+        if texts.rdd.getNumPartitions() < cores:
+            texts = texts.repartition(cores)
+        part = texts.mapInArrow(_scanner(name, cols, strict), COUNTS)
+        counted = part if counted is None else counted.unionByName(part)
+    return counted.groupBy("table_name", "column_name", "kind").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"), F.min("example").alias("example"))
+
+
+def _scanner(table: str, cols: list[str], strict: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        least: dict[tuple, str] = {}
         for b in batches:
-            for t, c, v, times in zip(*(x.to_pylist() for x in b.columns)):
-                total[t, c, None, False] += times
-                seen = {}
-                for m in sensitive.scan(v, strict) if v else ():
-                    seen.setdefault(m.kind, m.valid)  # the first of a kind in a cell counts
-                for kind, valid in seen.items():
-                    total[t, c, kind, valid] += times
-        rows = [(*k, n) for k, n in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["table_name", "column_name", "kind", "ok", "n"])
-
-    values = cells.groupBy("table_name", "column_name", "value").agg(F.count("*").alias("times"))  # each different value is scanned once
-    # the work is in the scan and not in the bytes: all cores, however small the shuffle was
-    spread = values.repartition(2 * cells.sparkSession.sparkContext.defaultParallelism)
-    counted = spread.mapInArrow(run, "table_name string, column_name string, kind string, ok boolean, n long")
-    return counted.groupBy("table_name", "column_name", "kind").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"))
+            for column, cells in zip(cols, b.columns):
+                held = cells.value_counts()
+                for v, times in zip(held.field("values").to_pylist(), held.field("counts").to_pylist()):
+                    total[column, None, False] += times
+                    seen: dict[str, sensitive.Match] = {}
+                    for m in sensitive.scan(v, strict) if v else ():
+                        seen.setdefault(m.kind, m)  # the first of a kind in a cell counts
+                    for kind, m in seen.items():
+                        total[column, kind, m.valid] += times
+                        mask = sensitive.masked(m.value, kind)
+                        least[column, kind] = min(least.get((column, kind), mask), mask)
+        rows = [(table, *k, n, least.get(k[:2])) for k, n in total.items()]
+        types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["table_name", "column_name", "kind", "ok", "n", "example"])
+
+    return run
 
 
 def prior_columns(column: Column) -> tuple[Column, Column]:
@@ -65,7 +86,7 @@ def prior_columns(column: Column) -> tuple[Column, Column]:
 
 
 def findings(counts: DataFrame, keep_rate: float = KEEP_RATE) -> DataFrame:
-    """table_name, column_name, pii_type, detector, match_rate, score, validated, name_prior: what a column's counts and name say.
+    """table_name, column_name, pii_type, detector, match_rate, score, validated, name_prior, example: what a column's counts and name say; example is a masked match.
 
     A kind without positive prior is dropped on pointer and credential names, and always for
     kinds that need one. A prior without matches is a finding of its own (``name_prior``).
@@ -78,9 +99,9 @@ def findings(counts: DataFrame, keep_rate: float = KEEP_RATE) -> DataFrame:
     seen = seen.withColumn("s", s).where(~((F.col("s") == 0) & (F.col("is_pointer") | F.col("is_credential") | F.col("kind").isin(*sensitive.NAME_REQUIRED))))
     score = 1 - (1 - F.col("s")) * (1 - F.least(F.lit(1.0), F.col("matched") / F.col("rows") / 0.30)) * (1 - F.col("valid") / F.col("matched"))
     score = score * F.when(F.col("is_prose") & (F.col("s") == 0), 0.4).otherwise(1.0)
-    regex = seen.select("table_name", "column_name", F.col("kind").alias("pii_type"), F.lit("regex").alias("detector"), (F.col("valid") / F.col("rows")).alias("match_rate"), score.alias("score"), (F.col("valid") > 0).alias("validated"), (F.col("s") > 0).alias("name_prior"))
+    regex = seen.select("table_name", "column_name", F.col("kind").alias("pii_type"), F.lit("regex").alias("detector"), (F.col("valid") / F.col("rows")).alias("match_rate"), score.alias("score"), (F.col("valid") > 0).alias("validated"), (F.col("s") > 0).alias("name_prior"), "example")
     only = named.where("prior is not null").join(seen.select("table_name", "column_name", F.col("kind").alias("prior")), ["table_name", "column_name", "prior"], "left_anti")
-    by_name = only.select("table_name", "column_name", F.col("prior").alias("pii_type"), F.lit("name_prior").alias("detector"), F.lit(0.0).alias("match_rate"), F.col("strength").alias("score"), F.lit(False).alias("validated"), F.lit(True).alias("name_prior"))
+    by_name = only.select("table_name", "column_name", F.col("prior").alias("pii_type"), F.lit("name_prior").alias("detector"), F.lit(0.0).alias("match_rate"), F.col("strength").alias("score"), F.lit(False).alias("validated"), F.lit(True).alias("name_prior"), F.lit(None).cast("string").alias("example"))
     kept = regex.where((F.col("match_rate") >= keep_rate) | F.col("validated") | F.col("name_prior"))
     return kept.unionByName(by_name).withColumns({"match_rate": F.round("match_rate", 4), "score": F.round("score", 4)})
 

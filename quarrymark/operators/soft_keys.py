@@ -68,19 +68,27 @@ def polymorphic_keys(table: DataFrame, type_col: str, id_col: str, parents: list
     counts in full, of others 0.85.
     """
     kinds = [r[0] for r in table.where(F.col(type_col).isNotNull()).select(type_col).distinct().limit(most_kinds + 1).collect()]
-    spark = table.sparkSession
-    schema = "kind string, parent string, child_distinct long, parent_distinct long, orphans long, containment double, cardinality string, confidence double"
-    if len(kinds) > most_kinds or not kinds:
-        return spark.createDataFrame([], schema)
-    out = None
-    for p in parents:
-        one = inclusion.partition_containment(table, type_col, id_col, {k: p for k in kinds}, least)
-        named = [k for k in kinds if p.name.split(".")[-2].lower() in names.table_forms(k)]
-        one = one.withColumn("confidence", soft_confidence(F.when(F.col("kind").isin(named), 1.0).otherwise(0.85), F.col("containment"), F.col("child_distinct")))
-        out = one if out is None else out.unionByName(one)
+    if len(kinds) > most_kinds:
+        kinds = []
+    out = inclusion.partition_containment(table, type_col, id_col, [(k, p) for k in kinds for p in parents], least)
+    named = {k: names.table_forms(k) for k in kinds}
+    hit = [F.struct(F.lit(k).alias("kind"), F.lit(p.name).alias("parent")) for k in kinds for p in parents if p.name.split(".")[-2].lower() in named[k]]
+    is_named = F.struct("kind", "parent").isin(*hit) if hit else F.lit(False)
+    out = out.withColumn("confidence", soft_confidence(F.when(is_named, 1.0).otherwise(0.85), F.col("containment"), F.col("child_distinct")))
     return out.where((F.col("child_distinct") > 0) & (F.col("containment") >= least)).select("kind", "parent", "child_distinct", "parent_distinct", "orphans", "containment", "cardinality", "confidence")
 
 
+def discovered_polymorphic(tables: dict[str, DataFrame], columns: DataFrame, parents: list[Side], least: float = 0.95) -> DataFrame:
+    """table_name, type_column, id_column and what ``polymorphic_keys`` gives, of every pair that ``discriminator_pairs`` finds in the tables; columns: table_name, column_name, type_class."""
+    found = None
+    for r in discriminator_pairs(columns).orderBy("table_name", "type_column", "id_column").collect():  # metadata
+        one = polymorphic_keys(tables[r["table_name"]].select(r["type_column"], r["id_column"]), r["type_column"], r["id_column"], parents, least)
+        one = one.select(F.lit(r["table_name"]).alias("table_name"), F.lit(r["type_column"]).alias("type_column"), F.lit(r["id_column"]).alias("id_column"), "*")
+        found = one if found is None else found.unionByName(one)
+    schema = "table_name string, type_column string, id_column string, kind string, parent string, child_distinct long, parent_distinct long, orphans long, containment double, cardinality string, confidence double"
+    return columns.sparkSession.createDataFrame([], schema) if found is None else found
+
+
 def json_keys(name: str, table: DataFrame, column: str, parents: dict[str, list[Side]], least: float = 0.95, least_distinct: int = 5) -> DataFrame:
     """path, parent, counts, containment, confidence: leaves of a JSON column whose values lie in a key.
 

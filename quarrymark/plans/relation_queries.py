@@ -2,56 +2,53 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.functions import types as kinds
-from quarrymark.operators import candidates, inclusion, profile
-from quarrymark.operators.inclusion import Side
+from quarrymark.operators import candidates, discovery, inclusion
 from quarrymark.plans.column_queries import STAR
-from quarrymark.sources.shared import staged
 from quarrymark.sources.tables import table
 
-#: Columns whose values are compared: integers and short texts.
-VALUED = {t: [c.rstrip("*") for c in cols.split() if c.endswith(("key", "_id", "*", "linenumber", "size")) and c != "props*"] for t, cols in STAR.items()}
+
+def measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of all eligible columns of the star schema, and the values that pairs of them share."""
+    return discovery.measured(spark, {t: table(spark, d, t) for t in STAR})
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the columns in VALUED, with implicit keys; column_id follows table and column names."""
-    parts = [profile.fingerprints(table(spark, d, t).select(*cols), t) for t, cols in VALUED.items()]
-    order = {f"{t}.{c}": i for i, (t, c) in enumerate(sorted((t, c) for t, cols in VALUED.items() for c in cols))}
-    schemas = profile.catalog(spark, {t: table(spark, d, t).select(*cols) for t, cols in VALUED.items()}).select("table_name", "column_name", F.col("type_class").alias("native"))
-    ids = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    out = reduce(DataFrame.unionByName, parts).join(schemas, ["table_name", "column_name"])
-    short = (F.col("native") == "STRING_LONG") & (F.col("longest") <= kinds.SHORT_LENGTH)
-    out = out.withColumn("type_class", F.when(short, "STRING_SHORT").otherwise(F.col("native"))).withColumn("column_id", ids[F.concat_ws(".", "table_name", "column_name")])
-    out = out.withColumn("is_pk", F.lit(False)).withColumn("is_unique", F.lit(False)).withColumn("eligible", F.col("type_class").isin(*kinds.ELIGIBLE))
-    keep = ["column_id", "table_name", "column_name", "ordinal", "type_class", "row_count", "distinct_count", "null_pct", "min_val", "max_val", "is_pk", "is_unique", "eligible"]
-    return staged(candidates.reconciled_keys(candidates.implicit_keys(out.select(*keep))), "facts")
+def implicit_keys(spark: SparkSession, d: str) -> DataFrame:
+    return measured(spark, d)[0].select("table_name", "column_name", "distinct_count", "is_implicit_pk", "is_unique")
 
 
-def overlaps(spark: SparkSession, d: str, columns: DataFrame) -> DataFrame:
-    """child_id, parent_id, shared of all pairs of valued columns of one family."""
-    sides = [Side(f"{t}.{c}", table(spark, d, t).select(c), c) for t, cols in VALUED.items() for c in cols]
-    ids = columns.select("column_id", F.concat_ws(".", "table_name", "column_name").alias("name"))
-    pairs = inclusion.all_pairs(sides).select("child", "parent", "shared")
-    return staged(pairs.join(ids.select(F.col("column_id").alias("child_id"), F.col("name").alias("child")), "child").join(ids.select(F.col("column_id").alias("parent_id"), F.col("name").alias("parent")), "parent").select("child_id", "parent_id", "shared"), "overlaps")
+_REALS = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value")
+_TIMES = ("o_orderdate", "l_shipdate", "ts")
 
 
-def implicit_keys(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).select("table_name", "column_name", "is_implicit_pk", "is_unique")
+def _fact_sql(t: str, i: int, c: str, text: bool) -> str:
+    group = "STRING" if text else "TIMESTAMP" if c in _TIMES else "INT"
+    held = f"coalesce(max(length({c})), 65) <= 64" if text else "true"
+    return f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{group}' AS g, {held} AS eligible, count(*) AS n, count(DISTINCT {c}) AS d, (count(*) - count({c})) / greatest(count(*), 1) AS null_pct FROM {t}"
+
+
+IMPLICIT_SQL = (
+    "WITH f AS (" + " UNION ALL ".join(_fact_sql(t, i, c.rstrip("*"), c.endswith("*")) for t, cols in STAR.items() for i, c in enumerate(cols.split()) if c.rstrip("*") not in _REALS)
+    + """), k AS (SELECT *, n >= 2 AND abs(d - n) <= 0.03 * n AND null_pct <= 0.01 AS is_key FROM f WHERE eligible),
+s AS (SELECT *, CASE WHEN lower(table_name) LIKE '%s' AND lower(table_name) NOT LIKE '%ss' THEN left(lower(table_name), length(table_name) - 1) ELSE lower(table_name) END AS one FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, is_key ORDER BY CASE WHEN lower(column_name) = 'id' THEN 0 WHEN lower(column_name) = lower(table_name) || '_id' THEN 1 WHEN lower(column_name) = one || '_id' THEN 2 ELSE 3 END, ordinal) AS rn FROM s),
+i AS (SELECT *, is_key AND rn = 1 AS first_key, is_key AND rn > 1 AS other_key FROM r),
+sc AS (SELECT a.table_name, a.column_name, a.g, 10 * (SELECT count(DISTINCT b.table_name) FROM k b WHERE b.table_name <> a.table_name AND lower(b.column_name) IN (lower(a.table_name) || '_id', a.one || '_id'))
+  + CASE WHEN lower(a.column_name) = 'id' THEN 2 WHEN lower(a.column_name) IN (lower(a.table_name) || '_id', a.one || '_id') THEN 1 ELSE 0 END AS score FROM i a WHERE first_key),
+l AS (SELECT table_name, column_name, score < max(score) OVER (PARTITION BY g) AS lost FROM sc)
+SELECT table_name, column_name, d AS distinct_count, first_key AND NOT coalesce(lost, false) AS is_implicit_pk, other_key OR coalesce(lost, false) AS is_unique FROM i LEFT JOIN l USING (table_name, column_name)
+"""
+)
 
 
 def fk_candidates(spark: SparkSession, d: str) -> DataFrame:
-    columns = facts(spark, d)
-    out = candidates.discovered(columns, overlaps(spark, d, columns))
+    out = candidates.discovered(*measured(spark, d))
     return out.select("child_table_name", "child_column_name", "parent_table_name", "parent_column_name", "source_stage", "tier", "confidence", F.round("name", 4).alias("name_similarity"), "estimated_containment", "parent_pk_unknown", "note")
 
 
 def fk_relationships(spark: SparkSession, d: str) -> DataFrame:
-    columns = facts(spark, d)
-    shared = overlaps(spark, d, columns)
+    columns, shared = measured(spark, d)
     return candidates.inherited(candidates.validated(candidates.discovered(columns, shared), shared), columns).drop("child_column_id", "parent_column_id")
 
 
@@ -94,4 +91,4 @@ SELECT *, round(CASE WHEN child_distinct > 0 THEN 1 - orphans / child_distinct E
 """
 
 QUERIES = {"implicit_keys": implicit_keys, "fk_candidates": fk_candidates, "fk_relationships": fk_relationships, "recorded_confidence": recorded_confidence, "exact_relationships": exact_relationships}
-ORACLE = {"recorded_confidence": CONFIDENCE_SQL, "exact_relationships": EXACT_SQL}
+ORACLE = {"implicit_keys": IMPLICIT_SQL, "recorded_confidence": CONFIDENCE_SQL, "exact_relationships": EXACT_SQL}

@@ -9,15 +9,39 @@ from quarrymark.functions import types as kinds
 from quarrymark.operators import graph, metadata_match, sensitive_scan, soft_keys, views
 from quarrymark.operators.inclusion import Side, all_pairs
 from quarrymark.plans.column_queries import side
-from quarrymark.plans.relation_queries import facts, fk_candidates, overlaps
+from quarrymark.plans.relation_queries import fk_candidates, measured
 from quarrymark.sources import exports
 from quarrymark.sources.shared import new_folder
 from quarrymark.sources.tables import names, table
 from quarrymark.streaming.profile import windowed_profile
 
+#: The text columns of the delivered tables, for SQL; queries take them from the schemas.
 TEXTS = {
-    "employees": ["first_name", "last_name", "employee_code", "work_email", "personal_email", "work_phone", "status"], "candidates": ["first_name", "last_name", "email", "phone", "resume_text", "status"],
-    "payroll_entries": ["bank_account_last4", "iban", "routing_number", "currency"], "posts": ["title", "body"],
+    "applications": ("status",),
+    "articles": ("headline", "body",),
+    "candidates": ("first_name", "last_name", "email", "phone", "resume_text", "status",),
+    "categories": ("name", "slug", "description",),
+    "col_inventory": ("column_name", "data_type", "type_class", "min_val", "max_val", "cardinality_method", "physical_type",),
+    "customer": ("c_name", "c_mktsegment",),
+    "documents": ("text", "lang", "source", "paper_key", "submitter", "main_file",),
+    "employees": ("first_name", "last_name", "employee_code", "work_email", "personal_email", "work_phone", "status",),
+    "events": ("event_type", "props",),
+    "extract_cells": ("cell_value",),
+    "key_values": ("key_value",),
+    "lineitem": ("l_returnflag", "l_linestatus",),
+    "mix_targets": ("source",),
+    "nation": ("n_name",),
+    "orders": ("o_orderstatus", "o_orderpriority",),
+    "part": ("p_name", "p_brand", "p_type",),
+    "payroll_entries": ("bank_account_last4", "iban", "routing_number", "currency",),
+    "posts": ("title", "body",),
+    "region": ("r_name",),
+    "relationships": ("cardinality", "evidence",),
+    "skill_taxonomy": ("name",),
+    "subject_areas": ("subject", "scope_note",),
+    "subject_labels": ("subject", "labeller",),
+    "supplier": ("s_name",),
+    "tbl_inventory": ("schema_name", "table_name", "status", "exclusion_reason", "parquet_path",),
 }
 
 # ---- inventory as a graph --------------------------------------------------------
@@ -135,7 +159,7 @@ def known_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 KNOWN_SCHEMA_SQL = (
-    "WITH k(name, table_name) AS (VALUES " + ", ".join(f"('{s}', '{t}')" for s, ts in graph.KNOWN_SCHEMAS.items() for t in ts.split())
+    "WITH k(name, table_name) AS (VALUES " + ", ".join(f"('{s}', '{t}')" for s, ts in graph.KNOWN_SCHEMAS.items() for t in ts)
     + "), n AS (SELECT count(DISTINCT lower(table_name)) AS n FROM tbl_inventory), z AS (SELECT name, count(*) AS k FROM k GROUP BY 1) SELECT name, round(count(*) / (max(n) + max(z.k) - count(*)), 4) AS jaccard, count(*) AS matched"
     " FROM k JOIN (SELECT DISTINCT lower(table_name) AS table_name FROM tbl_inventory) USING (table_name) JOIN z USING (name) CROSS JOIN n GROUP BY name HAVING round(count(*) / (max(n) + max(z.k) - count(*)), 4) >= 0.05"
 )
@@ -194,7 +218,10 @@ def sensitive_names(spark: SparkSession, d: str) -> DataFrame:
     return c.select("column_id", metadata_match.sensitive_name(F.col("column_name")).alias("category")).where("category is not null")
 
 
-SENSITIVE_NAMES_SQL = "SELECT * FROM (SELECT column_id, CASE " + " ".join(f"WHEN regexp_matches(column_name, '{p}') THEN '{k}'" for k, p in metadata_match.SENSITIVE_NAMES) + " END AS category FROM col_inventory) WHERE category IS NOT NULL"
+SENSITIVE_NAMES_SQL = r"""
+SELECT * FROM (SELECT column_id, CASE WHEN regexp_matches(column_name, '(?i)\b(salary|finance|amount|pay)\b') THEN 'FINANCIAL' WHEN regexp_matches(column_name, '(?i)\b(email|phone|name|address)\b') THEN 'PII'
+  WHEN regexp_matches(column_name, '(?i)\b(health|ssn|dob|medical)\b') THEN 'PHI' WHEN regexp_matches(column_name, '(?i)\b(password|pwd|secret|key)\b') THEN 'HIGH_RISK_CREDENTIAL' END AS category FROM col_inventory) WHERE category IS NOT NULL
+"""
 
 
 def domains(spark: SparkSession, d: str) -> DataFrame:
@@ -237,28 +264,28 @@ CONTEXT_SQL = _NAMED_SQL + f"SELECT child_table AS source, parent_table AS targe
 # ---- sensitive data -------------------------------------------------------------------
 
 
-def _text_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of every string column of every table."""
+def _texts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Every table with its string columns."""
     found = {t: (df := table(spark, d, t), [c for c, kind in df.dtypes if kind == "string"]) for t in names(spark, d)}
-    return sensitive_scan.text_cells({t: x for t, x in found.items() if x[1]})
+    return {t: x for t, x in found.items() if x[1]}
 
 
 def pii_findings(spark: SparkSession, d: str) -> DataFrame:
-    return sensitive_scan.findings(sensitive_scan.match_counts(_text_cells(spark, d)))
+    return sensitive_scan.findings(sensitive_scan.match_counts(_texts(spark, d)))
 
 
 def pii_findings_strict(spark: SparkSession, d: str) -> DataFrame:
-    cells = _text_cells(spark, d)
+    cells = _texts(spark, d)
     return views.with_regulations(sensitive_scan.findings(sensitive_scan.match_counts(cells, strict=True)), sensitive_scan.regulations(spark))
 
 
 def email_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of each text column that hold an e-mail address by the catalog's pattern."""
-    cells = sensitive_scan.text_cells({t: (table(spark, d, t), cols) for t, cols in TEXTS.items()})
+    cells = sensitive_scan.text_cells(_texts(spark, d))
     return cells.where(F.col("value").rlike(sensitive.BY_NAME["EMAIL"].regex)).groupBy("table_name", "column_name").agg(F.count("*").alias("n"))
 
 
-EMAIL_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n FROM {t} WHERE regexp_matches({c}, '{sensitive.BY_NAME['EMAIL'].regex}')" for t, cols in TEXTS.items() for c in cols) + ") WHERE n > 0"
+EMAIL_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n FROM {t} WHERE regexp_matches({c}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z][A-Za-z]+')" for t, cols in TEXTS.items() for c in cols) + ") WHERE n > 0"
 
 
 def regulations(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +319,7 @@ def pii_spread(spark: SparkSession, d: str) -> DataFrame:
     return sensitive_scan.propagated(_priors(spark, d), _edges(spark, d), score_floor=0.5, confidence_floor=0.5)
 
 
-_DIRECT_LIST = ", ".join(f"'{k}'" for k in sensitive_scan.DIRECT)
+_DIRECT_LIST = "'EMAIL', 'PHONE', 'SSN_US', 'SSN', 'PASSPORT_GB', 'PASSPORT_US', 'PASSPORT', 'IBAN', 'CC_NUMBER', 'PESEL_PL', 'BSN_NL', 'NIR_FR', 'AADHAAR_IN', 'MRN', 'NPI_US', 'MEDICARE_MBI', 'PERSONNUMMER_SE', 'TAX_ID_DE', 'CODICE_FISCALE_IT'"
 SPREAD_SQL = _NAMED_SQL.replace("WITH c", "WITH RECURSIVE c") + f"""
 , e AS (SELECT DISTINCT child_table, parent_table FROM r WHERE confidence >= 0.5 AND child_table <> parent_table), s AS (SELECT DISTINCT table_name, pii_type AS kind FROM ({_prior_sql()}) WHERE pii_type IN ({_DIRECT_LIST}) AND score >= 0.5),
 w AS (SELECT table_name, kind, 0 AS distance FROM s UNION SELECT child_table, kind, distance + 1 FROM w JOIN e ON parent_table = table_name WHERE distance < 30)
@@ -324,8 +351,7 @@ LEAKS_SQL = f"SELECT * FROM ({_leak_sql(('employees', 'last_name'), 'PERSON_NAME
 
 def composite_keys(spark: SparkSession, d: str) -> DataFrame:
     """Composite keys among the candidates of the star schema, as found by shared values."""
-    columns = facts(spark, d)
-    shared = overlaps(spark, d, columns)
+    columns, shared = measured(spark, d)
     ids = columns.select("column_id", "table_name", "column_name", "distinct_count")
     of = lambda s: ids.select(F.col("column_id").alias(f"{s}_id"), F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("distinct_count").alias(f"{s}_n"))
     singles = shared.join(of("child"), "child_id").join(of("parent"), "parent_id").withColumn("containment", F.col("shared") / F.col("child_n"))
@@ -427,10 +453,17 @@ def stream_profile(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(path if not path.endswith(".parquet") else d, pathGlobFilter="events.parquet") if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
     out = windowed_profile(stream, "ts", "event_type", "value")
-    name = f"events_{abs(hash(new_folder(spark, 's')))}"
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    target = new_folder(spark, "windows")
+
+    def keep(batch: DataFrame, number: int) -> None:  # a batch that is done again writes over itself
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    # the last state of each window counts
+    rows = spark.read.schema(out.schema.add("batch", "int")).parquet(target)
+    last = rows.groupBy("window_start", "group").agg(F.max_by(F.struct("n", "nulls", "low", "high"), "batch").alias("w")).select("window_start", "group", "w.*")
+    return last.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

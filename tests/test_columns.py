@@ -66,10 +66,6 @@ def test_fingerprints_of_odd_tables(spark):
 
 def test_names():
     assert names.similarity("customer_id", "customers") == 1.0 and names.stem("id") == "id" and names.stem("IDs") == "id"
-    assert names.is_role_reference("posted_by", "employees", "id") and not names.is_role_reference("posted", "employees", "id")
-    assert names.is_self_role("employees", "manager_id", "Employees", "employee_id")
-    assert names.is_suffix_match("storage_policy_id", "ads_st_config_policy", "id") and not names.is_suffix_match("id", "ids", "id")
-    assert names.tables_disjoint("orders", "films") and not names.tables_disjoint("ads_app", "ads_apple") and not names.tables_disjoint("a_", "a_b")
     assert [names.singular(x) for x in ("posts", "categories", "addresses", "status")] == ["post", "category", "addresses"[:-1], "statu"]
     assert names.table_forms("Category") == ["category", "categories"] and names.table_forms("") == []
     assert names.indel_ratio("abc", "abc") == 100 and names.indel_ratio("", "") == 100 and round(names.indel_ratio("o_custkey", "c_custkey"), 2) == 88.89
@@ -112,3 +108,24 @@ def test_implicit_key_by_name(spark):
 def test_confidence_bounds(spark):
     one = spark.range(1).select(candidates.confidence(F.lit(1.0), F.lit(1.0), F.lit(True), F.lit(False), F.lit(10), F.lit(10), F.lit(1.0)).alias("a"), candidates.confidence(F.lit(0.5), F.lit(0.5), F.lit(False), F.lit(True), F.lit(30), F.lit(20), F.lit(0.0)).alias("b")).first()
     assert one["a"] == 1.0 and one["b"] == round(0.2 + 0.15 + 0.075 + 0.1 * (1 - 0.45 / 0.95), 4)
+
+
+def test_role_rules(spark):
+    def holds(rule, *texts):
+        return spark.range(1).select(rule(*[F.lit(t) for t in texts])).first()[0]
+
+    assert holds(names.role_reference, "posted_by", "employees", "id") and not holds(names.role_reference, "posted", "employees", "id")
+    assert holds(names.role_reference, "manager_id", "Employees", "employee_id") and not holds(names.role_reference, "manager_id", "Employees", "code")
+    assert holds(names.suffix_match, "storage_policy_id", "ads_st_config_policy", "id") and not holds(names.suffix_match, "id", "ids", "id") and holds(names.suffix_match, "ab_id", "abc", "id")
+    assert holds(names.disjoint, "orders", "films") and not holds(names.disjoint, "ads_app", "ads_apple") and not holds(names.disjoint, "a_", "a_b") and holds(names.disjoint, "hr_jobs", "hr_people") and not holds(names.disjoint, "hr_job", "hr_jobs")
+    for name in ("id", "IDs", "customer_id", "_id", "s", "class", "x.id", "orders", "status_id"):
+        assert holds(names.stem_of, name) == names.stem(name), name
+
+
+def test_the_best_named_key_of_a_group_stays(spark):
+    rows = [("orders", "id", True), ("customers", "id", True), ("customers", "name", False), ("orders", "customer_id", False), ("visits", "customer_id", False), ("visits", "visit_no", True), ("notes", "code", True)]
+    full = [(i, t, c, 1, "STRING_SHORT" if t == "notes" else "INT_WIDE", 10, 10, 0.0, None, None, False, False, True, k) for i, (t, c, k) in enumerate(rows)]
+    got = candidates.reconciled_keys(spark.createDataFrame(full, FACTS + ", is_implicit_pk boolean"))
+    assert {(r["table_name"], r["column_name"]): (r["is_implicit_pk"], r["is_unique"]) for r in got.collect() if r["is_implicit_pk"] or r["is_unique"]} == {
+        ("customers", "id"): (True, False), ("orders", "id"): (False, True), ("visits", "visit_no"): (False, True), ("notes", "code"): (True, False)
+    }
