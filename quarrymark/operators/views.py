@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quarrymark.functions import names
 
 
 def unified(relationships: DataFrame, composites: DataFrame) -> DataFrame:
@@ -46,9 +48,12 @@ def run_summary(log: DataFrame) -> DataFrame:
     return latest_runs(log).groupBy("phase", "status").agg(F.count("*").alias("n"))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows put in place of those with equal keys; of new rows with equal keys any one stays."""
-    return new.dropDuplicates(keys).unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """old with new's rows put in place of those with equal keys. Of new rows with equal keys that with the greatest version stays, of equal versions or without one the greatest in the order of its other columns."""
+    rest = [c for c in new.columns if c not in keys and c != version]
+    best = F.max(F.struct(*([version] if version else []), *rest)).alias("_r")
+    last = new.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_r.`{c}`") for c in new.columns if c not in keys]).select(*new.columns)
+    return last.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
 
 
 def with_regulations(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -68,3 +73,36 @@ def context_graph(tables: DataFrame, relationships: DataFrame) -> tuple[DataFram
     nodes = tables.select(F.col("table_name").alias("id"), F.col("domain").alias("group"), "table_type")
     links = relationships.groupBy(F.col("child_table").alias("source"), F.col("parent_table").alias("target")).agg(F.max("confidence").alias("weight"), F.max_by("cardinality", "confidence").alias("cardinality"))
     return nodes, links
+
+
+def direction_reason(child_column: Column, parent_column: Column, child_pk: Column, parent_pk: Column, parent_unique: Column) -> Column:
+    """Why an edge points the way it does, by the first rule that holds."""
+    pk = lambda c: F.coalesce(c, F.lit(False))
+    low = F.lower(parent_column)
+    role = F.lower(child_column).isin(*names.ROLES) & ((low == "id") | low.endswith("_id"))
+    return (
+        F.when(role, "role-FK bypass").when(pk(parent_pk) & ~pk(child_pk), "declared PK on parent").when(pk(parent_pk) & pk(child_pk), "inheritance — both PKs, larger parent")
+        .when(pk(parent_unique), "implicit PK reconciled").otherwise("name similarity / containment")
+    )
+
+
+def quality_view(findings: DataFrame) -> DataFrame:
+    """Quality findings with rank, their place by severity (HIGH, MEDIUM, others), table, column and finding; findings are metadata."""
+    grade = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)
+    return findings.withColumn("rank", F.row_number().over(Window.orderBy(grade, "table_name", "column_name", "finding")))
+
+
+def cluster_detail(tables: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """cluster_id, tables, rows, inner_edges, bridge_edges, inner_weight of each cluster: tables (table_name, row_count), edges (parent, child, weight), members (table_name, cluster_id). A bridge edge leads to another cluster and counts for both."""
+    side = lambda s: members.select(F.col("table_name").alias(s), F.col("cluster_id").alias(f"c_{s}"))
+    both = edges.join(side("parent"), "parent").join(side("child"), "child")
+    inner = both.where("c_parent = c_child").groupBy(F.col("c_parent").alias("cluster_id")).agg(F.count("*").alias("inner_edges"), F.round(F.sum("weight"), 6).alias("inner_weight"))
+    across = both.where("c_parent <> c_child")
+    bridge = across.select(F.col("c_parent").alias("cluster_id")).unionByName(across.select(F.col("c_child").alias("cluster_id"))).groupBy("cluster_id").agg(F.count("*").alias("bridge_edges"))
+    size = members.join(tables, "table_name", "left").groupBy("cluster_id").agg(F.count("*").alias("tables"), F.sum(F.coalesce("row_count", F.lit(0))).alias("rows"))
+    return size.join(inner, "cluster_id", "left").join(bridge, "cluster_id", "left").fillna(0, ["inner_edges", "bridge_edges"]).fillna(0.0, ["inner_weight"])
+
+
+def source_schemas(tables: DataFrame) -> DataFrame:
+    """schema_name, table_count; the catalog's own schemas aside."""
+    return tables.where(~F.col("schema_name").isin("pg_catalog", "information_schema")).groupBy("schema_name").agg(F.count("*").alias("table_count"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrymark.plans import column_queries, core_problems, relation_queries, schema_queries
+from quarrymark.plans import column_queries, core_problems, gate_queries, inventory_queries, relation_queries, schema_queries
 
-MODULES = [core_problems, column_queries, relation_queries, schema_queries]
+MODULES = [core_problems, column_queries, relation_queries, gate_queries, schema_queries, inventory_queries]
 
 
 def queries() -> dict:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quarrymark.functions import sensitive
 from quarrymark.functions import types as kinds
 from quarrymark.operators import graph, metadata_match, sensitive_scan, soft_keys, views
 from quarrymark.operators.inclusion import Side, all_pairs
-from quarrymark.plans.column_queries import side
+from quarrymark.plans.column_queries import QUALITY_SQL, side
 from quarrymark.plans.relation_queries import fk_candidates, measured
 from quarrymark.sources import exports
 from quarrymark.sources.shared import new_folder
@@ -461,7 +461,7 @@ def stream_profile(spark: SparkSession, d: str) -> DataFrame:
     query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     # the last state of each window counts
-    rows = spark.read.schema(out.schema.add("batch", "int")).parquet(target)
+    rows = spark.read.schema(out.schema.add("batch", T.IntegerType())).parquet(target)
     last = rows.groupBy("window_start", "group").agg(F.max_by(F.struct("n", "nulls", "low", "high"), "batch").alias("w")).select("window_start", "group", "w.*")
     return last.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
@@ -486,3 +486,17 @@ ORACLE = {
     "email_cells": EMAIL_SQL, "regulations": REGULATIONS_SQL, "card_checks": CARDS_SQL, "pii_spread": SPREAD_SQL, "pii_leaks": LEAKS_SQL, "polymorphic_keys": POLYMORPHIC_SQL, "json_keys": JSON_KEYS_SQL, "recorded_recall": RECALL_SQL,
     "unified_relationships": UNIFIED_SQL, "surviving_tables": SURVIVING_SQL, "foreign_columns": FOREIGN_SQL, "latest_deliveries": LATEST_SQL, "stream_profile": STREAM_SQL,
 }
+
+#: SQL of the read models that put the patterns and schemas above together.
+QUALITY_OF_SCHEMAS = {
+    "schema_insights": (
+        f"SELECT 'tables' AS insight, (SELECT count(DISTINCT table_name) FROM ({_NAMED_SQL} SELECT table_name FROM c))::DOUBLE AS value UNION ALL SELECT 'temporal_fraction', fraction FROM ({TEMPORAL_SQL}) UNION ALL SELECT 'surrogate_pct', surrogate_pct FROM ({SURROGATE_SQL})"
+        f" UNION ALL SELECT 'integer_pct', integer_pct FROM ({SURROGATE_SQL}) UNION ALL SELECT 'bridge_tables', count(*) FROM ({BRIDGES_SQL}) UNION ALL SELECT 'supertypes', count(*) FROM ({SUPERTYPES_SQL})"
+    ),
+    "quality_view": f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, table_name, column_name, finding) AS rank, * FROM ({QUALITY_SQL})",
+    "schema_detail": _EDGES_SQL + """
+, x AS (SELECT e.weight AS w, a.schema_name AS p, b.schema_name AS q FROM e JOIN tbl_inventory a ON a.table_name = parent JOIN tbl_inventory b ON b.table_name = child)
+SELECT t.schema_name, count(*) AS tables, sum(coalesce(row_count_estimate, 0))::BIGINT AS "rows", (SELECT count(*) FROM x WHERE p = q AND p = t.schema_name) AS inner_edges, (SELECT count(*) FROM x WHERE p <> q AND t.schema_name IN (p, q)) AS bridge_edges,
+  coalesce((SELECT round(sum(w), 6) FROM x WHERE p = q AND p = t.schema_name), 0.0) AS inner_weight FROM tbl_inventory t GROUP BY 1
+""",
+}
