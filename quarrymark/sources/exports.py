@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrymark.sources import shared
+
 #: Relation marks of the exports by cardinality.
 DBML_MARKS = {"ONE_TO_ONE": "-", "MANY_TO_ONE": ">", "ONE_TO_MANY": "<", "MANY_TO_MANY": "<>"}
 MERMAID_MARKS = {"ONE_TO_ONE": "||--||", "MANY_TO_ONE": "}o--||", "ONE_TO_MANY": "||--o{", "MANY_TO_MANY": "}o--o{"}
@@ -59,6 +63,47 @@ def from_jdbc(spark: SparkSession, url: str, query_or_table: str, *, column: str
     return reader.load()
 
 
+def extract_schema(read: Callable[[str], DataFrame], tables: dict[str, list[tuple[str, bool, bool, bool]]], folder: str, *, only: list[str] | None = None, percent: float | None = None, project: bool = True) -> list[dict]:
+    """Writes tables of a source as Parquet below folder and returns their manifest, which is also written: table, columns, rows, path, demoted.
+
+    read turns a query into a DataFrame (``from_jdbc``); tables: name -> (column, is_pk,
+    is_eligible, is_text), by which ``projection`` leaves columns out. only: a subset of them. A
+    column whose type can't be read is tried again as text, by itself, and listed as demoted.
+    """
+    manifest = []
+    for name in sorted(tables) if only is None else [t for t in only if t in tables]:
+        kept = projection(tables[name]) if project else ["*"]
+        columns = [c for c, *_ in tables[name]] if kept == ["*"] else kept
+        path, demoted = f"{folder.rstrip('/')}/{name}.parquet", []
+        try:
+            df = read(f"SELECT {', '.join(columns)} FROM {name}")
+            extracted(df, path, percent=percent)
+        except Exception:  # a type that the reader or the writer doesn't know
+            parts = []
+            for c in columns:
+                try:
+                    read(f"SELECT {c} FROM {name}").limit(1).collect()
+                    parts.append(c)
+                except Exception:
+                    parts.append(f"CAST({c} AS varchar(4000)) AS {c}")
+                    demoted.append(c)
+            df = read(f"SELECT {', '.join(parts)} FROM {name}")
+            extracted(df, path, percent=percent)
+        spark = df.sparkSession
+        manifest.append({"table": name, "columns": columns, "rows": spark.read.parquet(path).count(), "path": path, "demoted": demoted})
+        digest = hashlib.sha256(json.dumps(manifest[-1], sort_keys=True).encode()).hexdigest()
+        shared.removed(spark, f"{path}.manifest")
+        shared.write_text(spark, f"{path}.manifest", json.dumps(manifest[-1] | {"sha256": digest}))
+    return manifest
+
+
+def csv_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """One folder of CSV files with header and all fields quoted for each table."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{folder.rstrip('/')}/{name}")
+    return [f"{folder.rstrip('/')}/{name}" for name in tables]
+
+
 def csv_report(df: DataFrame, path: str, order: list[str]) -> None:
     """One CSV file with header, all fields quoted, in the order given; for reports of metadata size."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
