@@ -3,9 +3,9 @@
 Method: normalised document vectors (tf-idf over all documents) are clustered by bisecting
 k-means. Each leaf is labelled by its discriminative terms, together with the hand-labelled
 documents that fall into it. The leaves' mixtures of subjects, carried to the terms by how often
-each leaf uses them, then score every typeset sentence; some rounds over all sentences sharpen
-the terms' weights and drop those that don't tell subjects apart. A document has each subject
-that a given share of its subject-bearing sentences is about.
+each leaf uses them, score every typeset sentence by the terms that tell subjects apart, with the
+document's leaf mixture as prior. A document has each subject that a given share of its
+subject-bearing sentences is about.
 """
 
 from __future__ import annotations
@@ -35,11 +35,8 @@ MIN_DF = 1e-4
 LEAF_TERMS = 15
 #: A term tells subjects apart if the subject that uses it most does so in so many times as large a share of its documents as the median subject.
 TELLING = 2.5
-#: ... and if its documents have so many subject-bearing sentences in the mean, so that the wording of stubs isn't taken for a subject's.
-MEAN_SENTENCES = 3
 #: Documents scored at once.
 SLICE = 1000
-ROUNDS = 3
 #: Frequent function words, which tell a text's language.
 FUNCTION_WORDS = {
     "en": "the and for our all with from each was this that not are but its when how both between once were their these there after".split(),
@@ -98,7 +95,7 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """key, lang, ids, sizes, own, tf of ``bodies`` with any words: each sentence as the numbers of its terms, and how many those are; sentences without any are left out. own: the different ones of the document; tf: a vector of their counts."""
+    """key, lang, ids, sizes, tf of ``bodies`` with any words: each sentence as the numbers of its terms, and how many those are; sentences without any are left out. tf: a vector of the terms' counts."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
     width = len(terms)
 
@@ -131,9 +128,9 @@ def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
             sparse = [pa.array(np.full(b.num_rows, v), k) for v, k in ((0, pa.int8()), (width, pa.int32()))]
             tf = pa.StructArray.from_arrays([*sparse, own, listed(counts[mine][order], doc[mine], pa.float64())], names=["type", "size", "indices", "values"])
             lists = listed(ids[known], np.repeat(rows, length)[known], pa.int32()), listed(per_line[per_line > 0], of_line[per_line > 0], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, own, tf], names=["key", "lang", "ids", "sizes", "own", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, tf], names=["key", "lang", "ids", "sizes", "tf"])
 
-    schema = T.StructType([docs.schema["key"], docs.schema["lang"], *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "sizes", "own")), T.StructField("tf", VectorUDT())])
+    schema = T.StructType([docs.schema["key"], docs.schema["lang"], *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "sizes")), T.StructField("tf", VectorUDT())])
     return staged(docs.where(FILLED).mapInArrow(run, schema), "coded", by="lang")
 
 
@@ -203,7 +200,7 @@ class Scorer:
         self.priors = np.log(mixes + 0.05).astype(np.float32)
 
     def score(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        """Of slices of (lang, leaf, ids, sizes): first row of the slice, document of each subject-bearing sentence, its posteriors, number of each telling term (with the language's offset), its sentence.
+        """Of slices of (lang, leaf, ids, sizes): first row of the slice, document of each subject-bearing sentence, its posteriors.
 
         A sentence's prior is its leaf's mixture of subjects at first, then the document's own.
         """
@@ -219,55 +216,13 @@ class Scorer:
             if not len(term):
                 continue
             starts = np.flatnonzero(np.diff(line, prepend=-1))
-            doc, line = doc[line[starts]], np.cumsum(np.diff(line, prepend=line[0]) != 0)
+            doc = doc[line[starts]]
             score = np.add.reduceat(self.logs[term], starts, axis=0)
             post = _softmax(score + self.priors[leaf[doc]])
             first = np.flatnonzero(np.diff(doc, prepend=-1))
             own = np.add.reduceat(post, first, axis=0) / np.diff(first, append=len(doc))[:, None]
             own = np.repeat(np.log(own + 0.02), np.diff(first, append=len(doc)), axis=0)
-            yield at, doc, _softmax(score + own), term, line
-
-
-def reestimated(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and telling terms, from what all sentences and documents (coded) are expected to hold under the present ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, tells, mixes))
-    langs, vocab, width = weights.shape
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
-        sums = np.zeros((3, langs, vocab + 1, width))  # of sentences, of documents, of documents times their sentences; the last term counts documents
-        flat = sums.reshape(3, -1, width)
-        for b in batches:
-            lang, own = b.column(0).to_numpy(), b.column(4)
-            ends, terms = own.offsets.to_numpy(), own.values.to_numpy()
-            for at, doc, post, term, line in scorer.score(b):
-                _add(flat[0], term + term // vocab, post[line])  # each language has a place more than terms
-                first = np.flatnonzero(np.diff(doc, prepend=-1))
-                total = np.add.reduceat(post, first, axis=0)
-                count = np.diff(first, append=len(doc))
-                row = at + doc[first]
-                _add(flat[1], lang[row].astype(np.int64) * (vocab + 1) + vocab, total / count[:, None])
-                # every term of a document once, telling or not
-                owner = np.repeat(np.arange(len(row)), ends[row + 1] - ends[row])
-                place = terms[np.concatenate([np.arange(ends[i], ends[i + 1]) for i in row])] + lang[row][owner].astype(np.int64) * (vocab + 1)
-                _add(flat[1], place, (total / count[:, None])[owner])
-                _add(flat[2], place, total[owner])
-        at = np.nonzero(sums > 1e-6)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(sums[at])], names=["of", "g", "t", "s", "n"])
-
-    rows = docs.select("lang", "leaf", "ids", "sizes", "own").mapInArrow(run, "of long, g long, t long, s long, n double").groupBy("of", "g", "t", "s").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros((3, langs, vocab + 1, width))
-    of, g, t, s, n = (c.to_numpy() for c in rows.columns)
-    sums[of, g, t, s] = n
-    counts = sums[:, :, :vocab].transpose(0, 1, 3, 2)
-    lengthy = counts[2].sum(1) >= MEAN_SENTENCES * counts[1].sum(1)
-    return term_weights(counts[0]), telling(counts[1], sums[1, :, vocab]) & lengthy
-
-
-def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, with repeated places."""
-    for s in range(to.shape[1]):
-        to[:, s] += np.bincount(at, weights=rows[:, s], minlength=len(to))
+            yield at, doc, _softmax(score + own)
 
 
 def subject_shares(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixes: np.ndarray, names: list[str]) -> DataFrame:
@@ -278,7 +233,7 @@ def subject_shares(docs: DataFrame, weights: np.ndarray, tells: np.ndarray, mixe
         scorer = Scorer(*shared.value)
         label = pa.array(names, pa.string())
         for b in batches:
-            for at, doc, post, _, _ in scorer.score(pa.RecordBatch.from_arrays(b.columns[1:], names=["lang", "leaf", "ids", "sizes"])):
+            for at, doc, post in scorer.score(pa.RecordBatch.from_arrays(b.columns[1:], names=["lang", "leaf", "ids", "sizes"])):
                 held = np.bincount(doc * len(names) + post.argmax(1), minlength=(doc[-1] + 1) * len(names)).reshape(-1, len(names))
                 row, subject = np.nonzero(held)
                 total = held.sum(1)[row]
@@ -315,8 +270,6 @@ def fitted(df: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFra
     mixes = np.concatenate([leaf_subjects(*(x[g * LEAVES : (g + 1) * LEAVES] for x in (used, tagged)), by_subject[g]) for g in range(len(LANGUAGES))])
     of_leaves = lambda x: np.stack([mixes[g * LEAVES : (g + 1) * LEAVES].T @ x[g * LEAVES : (g + 1) * LEAVES] for g in range(len(LANGUAGES))])
     weights, tells = term_weights(of_leaves(used)), telling(of_leaves(held), of_leaves(size))
-    for _ in range(ROUNDS):
-        weights, tells = reestimated(leaves, weights, tells, mixes)
     return leaves, terms, weights, tells, mixes, names
 
 

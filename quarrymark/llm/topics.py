@@ -2,8 +2,9 @@
 
 A naive Bayes classifier over the tokens that a document holds. It is fitted on a bounded sample
 of labelled documents (LABELLED rows, in an order given by a hash) and judges every document in
-the pass that counts its tokens. A token's weight for a subject compares the labelled documents
-of the subject that hold it with how many would if, within each language, subjects held it alike.
+the pass that counts its tokens. A token's weight for a subject compares the share of the subject's
+labelled documents that hold it with the share that would if, within each language, subjects held
+it alike. Only evidence for a subject counts: weights below TELLING and of single documents are 0.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quarrymark.sources.shared import staged
 
 #: The greatest number of labelled rows that the classifier is fitted on.
 LABELLED = 20_000
+#: A token speaks for a subject if so many times as large a share of its documents hold it as expected, two of them at least.
+TELLING = 2.5
 
 
 def _held(n: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +63,11 @@ def token_weights(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray
         g, s, t, n = (c.to_numpy() for c in sums.columns)
         held[g, s, t] = n
     expected = (held.sum(1, keepdims=True) * (docs / np.maximum(docs.sum(1, keepdims=True), 1))[:, :, None]).sum(0)
-    weights = np.log((held.sum(0) + 1) / (expected + 1)).T
-    return names, np.ascontiguousarray(weights, np.float32)
+    held, size = held.sum(0), docs.sum(0)[:, None]
+    usual = (expected + 0.1) / (size + 1)
+    weights = np.log((held + usual) / (size + 1) / usual)
+    weights[(weights < np.log(TELLING)) | (held < 2)] = 0
+    return names, np.ascontiguousarray(weights.T, np.float32)
 
 
 def sized(df: DataFrame, key: str, text: str, names: list[str], weights: np.ndarray, path: str) -> DataFrame:
