@@ -93,7 +93,7 @@ _PARTICLES = frozenset(("de", "da", "di", "del", "della", "der", "den", "van", "
 _NO_NAMES = frozenset((
     "the", "a", "an", "in", "on", "at", "of", "to", "by", "for", "from", "with", "and", "or", "but", "our", "my", "your", "his", "her", "their", "its", "we", "i", "you", "he", "she", "they", "it", "this", "that", "these", "those",
     "is", "was", "are", "were", "be", "has", "have", "had", "will", "as", "if", "when", "where", "who", "what", "no", "not", "all", "any", "please", "since", "dear", "best", "mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "sir",
-    "der", "die", "das", "und", "mit", "für", "im", "am", "ein", "eine", "el", "los", "las", "y", "con", "para", "por", "un", "una", "call", "mail", "email", "tel", "phone", "mobile", "fax", "regards", "contact", "ask", "send", "box",
+    "der", "die", "das", "und", "mit", "für", "im", "am", "ein", "eine", "el", "los", "las", "y", "con", "para", "por", "un", "una", "call", "mail", "email", "tel", "phone", "mobile", "fax", "regards", "contact", "ask", "send", "box", "unit", "flat", "apt", "apartment", "suite", "room", "floor",
 )) - _PARTICLES
 _TITLE = re.compile(r"(?:^|[^\w])(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau|señor|señora|sra?|mx)\.?\s*$", re.I)
 _NAME_CUE = re.compile(r"\b(?:regards|sincerely|contact|from|name|attn|cc|to|by|with|dear|ask|met|supervisor|manager|referee|references?|author|editor|signed|according to|grüße)\s*[:.,]?\s*$", re.I)
