@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrymark.operators import discovery, graph, inventory, views
+from quarrymark.operators import discovery, graph, inventory, sensitive_scan, views
 from quarrymark.plans.column_queries import quality_findings as star_quality
 from quarrymark.plans.schema_queries import _NAMED_SQL, QUALITY_OF_SCHEMAS, _by_schema, _columns, _edges, _priors, _prior_sql, _tables, table_edges
 from quarrymark.sources.tables import table
@@ -130,6 +130,36 @@ def cardinality_probe(spark: SparkSession, d: str) -> DataFrame:
 
 PROBE_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total, count(DISTINCT {c}) AS \"distinct\" FROM {t}" for t, c in _PROBED)
 
+#: Counts of matches by column and kind (null: cells), and what each column's name implies, written out for SQL.
+COUNTS_SCHEMA = "table_name string, column_name string, kind string, matched long, valid long, example string"
+COUNTS = [
+    ("users", "email", None, 100, 0, None), ("users", "email", "EMAIL", 95, 95, "a***@b***.org"), ("users", "email", "CARD_HOLDER_NAME", 40, 40, "A***"), ("users", "notes", None, 200, 0, None), ("users", "notes", "EMAIL", 12, 12, "a***@b***.org"), ("users", "notes", "SSN_US", 4, 0, "***1234"),
+    ("users", "order_id", None, 50, 0, None), ("users", "order_id", "MRN", 50, 50, "1***"), ("users", "password_hash", None, 50, 0, None), ("users", "password_hash", "API_KEY", 50, 10, "***"), ("users", "password_hash", "CREDENTIAL_HASH", 50, 50, "x***"), ("users", "phone", None, 80, 0, None), ("users", "city", None, 90, 0, None), ("users", "city", "ICD10", 3, 0, "A***"), ("users", "city", "IBAN", 9, 0, "***0001"),
+    ("staff", "employee_ssn", None, 60, 0, None), ("staff", "employee_ssn", "SSN_US", 6, 0, "***6789"), ("staff", "empty", None, 0, 0, None),
+]
+PRIORS_SCHEMA = "column_name string, prior string, strength double"
+PRIORS = [("email", "EMAIL", 0.85), ("phone", "PHONE", 0.85), ("password_hash", "CREDENTIAL_HASH", 0.85), ("employee_ssn", "SSN_US", 0.5)]
+
+
+def pii_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What literal counts of matches come to: scores, suppression by names, findings by name alone, what is kept."""
+    return sensitive_scan.findings(spark.createDataFrame(COUNTS, COUNTS_SCHEMA))
+
+
+def _values(name: str, schema: str, rows: list[tuple]) -> str:
+    return f"{name}({', '.join(c.split()[0] for c in schema.split(', '))}) AS (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)})"
+
+
+SCORES_SQL = "WITH " + _values("m", COUNTS_SCHEMA, COUNTS) + ", " + _values("n", PRIORS_SCHEMA, PRIORS) + """
+, c AS (SELECT table_name, column_name, matched AS cells, prior, strength, column_name IN ('order_id') AS pointer, column_name IN ('password_hash') AS credential, column_name IN ('notes') AS prose FROM m LEFT JOIN n USING (column_name) WHERE kind IS NULL),
+x AS (SELECT c.*, kind, matched, valid, example, CASE WHEN kind = prior THEN strength ELSE 0.0 END AS s FROM c JOIN m USING (table_name, column_name) WHERE kind IS NOT NULL),
+y AS (SELECT * FROM x WHERE NOT (s = 0 AND (pointer OR credential OR kind IN ('CARD_HOLDER_NAME', 'CARD_CVV', 'AADHAAR_IN'))))
+SELECT table_name, column_name, kind AS pii_type, 'regex' AS detector, round(valid / cells, 4)::DOUBLE AS match_rate,
+  round((1 - (1 - s) * (1 - least(1.0, matched / cells / 0.30)) * (1 - valid / matched)) * CASE WHEN prose AND s = 0 THEN 0.4 ELSE 1.0 END, 4)::DOUBLE AS score, valid > 0 AS validated, s > 0 AS name_prior, example
+FROM y WHERE valid / cells >= 0.05 OR valid > 0 OR s > 0
+UNION ALL SELECT table_name, column_name, prior, 'name_prior', 0.0, strength::DOUBLE, false, true, NULL FROM c WHERE prior IS NOT NULL AND NOT EXISTS (SELECT 1 FROM y WHERE y.table_name = c.table_name AND y.column_name = c.column_name AND y.kind = c.prior)
+"""
+
 # ---- read models -------------------------------------------------------------------
 
 
@@ -181,10 +211,10 @@ def source_schemas(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "index_flags": index_flags, "inventory": inventory_columns, "declared_edges": declared_edges, "unexcluded": unexcluded, "schema_scope": schema_scope, "pii_fk_gate": pii_fk_gate, "cardinality_refined": cardinality_refined, "cardinality_probe": cardinality_probe,
+    "index_flags": index_flags, "inventory": inventory_columns, "declared_edges": declared_edges, "unexcluded": unexcluded, "schema_scope": schema_scope, "pii_fk_gate": pii_fk_gate, "cardinality_refined": cardinality_refined, "cardinality_probe": cardinality_probe, "pii_scores": pii_scores,
     "relationship_directions": relationship_directions, "schema_insights": schema_insights, "quality_view": quality_view, "schema_detail": schema_detail, "source_schemas": source_schemas,
 }
 ORACLE = {
-    "index_flags": _FLAGS_SQL + "SELECT * FROM flags", "inventory": INVENTORY_SQL, "declared_edges": DECLARED_SQL, "unexcluded": UNEXCLUDED_SQL, "schema_scope": SCOPE_SQL, "pii_fk_gate": GATE_SQL, "cardinality_refined": REFINED_SQL, "cardinality_probe": PROBE_SQL,
+    "index_flags": _FLAGS_SQL + "SELECT * FROM flags", "inventory": INVENTORY_SQL, "declared_edges": DECLARED_SQL, "unexcluded": UNEXCLUDED_SQL, "schema_scope": SCOPE_SQL, "pii_fk_gate": GATE_SQL, "cardinality_refined": REFINED_SQL, "cardinality_probe": PROBE_SQL, "pii_scores": SCORES_SQL,
     "relationship_directions": DIRECTION_SQL, **QUALITY_OF_SCHEMAS, "source_schemas": "SELECT schema_name, count(*) AS table_count FROM tbl_inventory WHERE schema_name NOT IN ('pg_catalog', 'information_schema') GROUP BY 1",
 }
