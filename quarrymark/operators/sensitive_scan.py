@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymark.functions import sensitive
@@ -32,6 +34,8 @@ def text_cells(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return out
 
 
+#: Bytes of a table as it is stored that are worth a task.
+SPREAD = 1 << 20
 COUNTS = "table_name string, column_name string, kind string, ok boolean, n long, example string"
 
 
@@ -39,36 +43,60 @@ def match_counts(tables: dict[str, tuple[DataFrame, list[str]]], strict: bool =
     """table_name, column_name, kind, matched, valid, example: per column and kind, cells with such a match, with one that its check accepts, and the least of the masked matches. kind null: cells scanned.
 
     tables: name -> (table, text columns). Each is read once, where it lies: no text is shuffled,
-    and values that a batch repeats are scanned once. Only a table of fewer files than there are
-    cores is spread first, as the work is in the scan.
+    and values that a task meets again soon are scanned once. Only a table of fewer parts than
+    its size is worth and there are cores for is spread first, as the work is in the scan.
     """
     cores = next(iter(tables.values()))[0].sparkSession.sparkContext.defaultParallelism
     counted = None
     for name, (df, cols) in tables.items():
         texts = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-        if texts.rdd.getNumPartitions() < cores:
-            texts = texts.repartition(cores)
+        parts = min(cores, 1 + int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SPREAD)
+        if parts > 1 and texts.rdd.getNumPartitions() < parts:
+            texts = texts.repartition(parts)
         part = texts.mapInArrow(_scanner(name, cols, strict), COUNTS)
         counted = part if counted is None else counted.unionByName(part)
-    return counted.groupBy("table_name", "column_name", "kind").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"), F.min("example").alias("example"))
+    counts = counted.groupBy("table_name", "column_name", "kind").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"), F.min("example").alias("example"))
+    return staged(counts, "counts")  # what is made of them reads them several times
+
+
+#: Cells and bytes that a task gathers before it scans them.
+GATHERED = 200_000, 1 << 24
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, cells, size = [], 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        cells, size = cells + b.num_rows * b.num_columns, size + b.nbytes
+        if cells >= GATHERED[0] or size >= GATHERED[1]:
+            yield pa.Table.from_batches(held)
+            held, cells, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _scanner(table: str, cols: list[str], strict: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         least: dict[tuple, str] = {}
-        for b in batches:
-            for column, cells in zip(cols, b.columns):
-                held = cells.value_counts()
-                for v, times in zip(held.field("values").to_pylist(), held.field("counts").to_pylist()):
-                    total[column, None, False] += times
-                    seen: dict[str, sensitive.Match] = {}
-                    for m in sensitive.scan(v, strict) if v else ():
-                        seen.setdefault(m.kind, m)  # the first of a kind in a cell counts
-                    for kind, m in seen.items():
-                        total[column, kind, m.valid] += times
-                        mask = sensitive.masked(m.value, kind)
-                        least[column, kind] = min(least.get((column, kind), mask), mask)
+        for part in _gathered(batches):
+            for column, cells in zip(cols, part.columns):
+                total[column, None, False] += len(cells)
+                held = pc.value_counts(pc.cast(cells.combine_chunks(), pa.binary()).drop_null())
+                times = held.field("counts").to_numpy()
+                for cell, kind, valid, values in sensitive.first_matches(held.field("values").to_pylist(), strict):
+                    seen: dict[str, set[str]] = {}
+                    for k, v in zip(kind.tolist(), values):
+                        name = sensitive.KINDS[k]
+                        seen.setdefault(name, set()).add(sensitive.telling_part(v, name))
+                    for k, n in enumerate(np.bincount(2 * kind + valid, times[cell]).astype(np.int64).tolist()):
+                        if n:
+                            total[column, sensitive.KINDS[k // 2], k % 2 == 1] += n
+                    for name, parts in seen.items():
+                        mask = min(sensitive.masked(v, name) for v in parts)
+                        least[column, name] = min(least.get((column, name), mask), mask)
         rows = [(table, *k, n, least.get(k[:2])) for k, n in total.items()]
         types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["table_name", "column_name", "kind", "ok", "n", "example"])
